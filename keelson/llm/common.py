@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at (a longer single text is one step).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows up to which an id list is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

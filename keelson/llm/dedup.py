@@ -49,8 +49,8 @@ WORD = 32
 FLANK = LENGTH - WORD  # 18; a window holds FLANK + 1 words
 #: Bytes of text a block is meant to hold; a longer text is a block with others.
 BLOCK_BYTES = 8 << 20
-#: Sequences sorted in one collection, and anchors in it (symbols have 16 bits).
-COLLECTION_ROWS, COLLECTION_WORDS = 40_000, 40_000
+#: Sequences sorted in one collection; each has one anchor, and symbols have 16 bits.
+COLLECTION_ROWS = 20_000
 _TOP = np.uint64(2**64 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
