@@ -71,19 +71,20 @@ def deleted(deletions: DataFrame) -> DataFrame:
     """(ref): what is deleted by a deleter that is not deleted itself.
 
     Deleters that nobody deletes are alive; what they delete is dead, and what
-    the dead deleted is no longer. Every round settles one level of the chain.
+    the dead deleted is no longer. Every round settles one level of the chain,
+    at the cost of one checkpoint.
     """
-    edges = cut(deletions.select("target", "deleter").distinct())
-    dead = edges.select(F.col("target").alias("ref")).limit(0)
-    while not edges.isEmpty():
-        alive = edges.select(F.col("deleter").alias("ref")).join(edges.select(F.col("target").alias("ref")), "ref", "left_anti").distinct()
-        now = cut(edges.join(alive.withColumnRenamed("ref", "deleter"), "deleter", "left_semi").select(F.col("target").alias("ref")).distinct())
-        if now.isEmpty():
-            break  # a cycle, which content addressing rules out
-        dead = cut(dead.unionByName(now).distinct())
-        edges = edges.join(now.select(F.col("ref").alias("target")), "target", "left_anti").join(now.select(F.col("ref").alias("deleter")), "deleter", "left_anti")
-        edges = cut(edges)
-    return dead
+    edges = deletions.select("target", "deleter").distinct()
+    dead: DataFrame | None = None
+    while True:
+        targets = edges.select(F.col("target").alias("deleter"), F.lit(True).alias("hit")).distinct()
+        level = cut(edges.join(targets, "deleter", "left").select("target", "deleter", F.col("hit").isNull().alias("alive")))
+        now = level.where("alive").select("target").distinct()
+        dead = now if dead is None else dead.unionByName(now)
+        rest = level.where("not alive").drop("alive")
+        if rest.isEmpty() or now.isEmpty():  # nobody alive: a cycle, which content addressing rules out
+            return dead.select(F.col("target").alias("ref")).distinct()
+        edges = rest.join(now, "target", "left_anti").join(now.select(F.col("target").alias("deleter")), "deleter", "left_anti")
 
 
 def not_deleted(rows: DataFrame, dead: DataFrame, *columns: str) -> DataFrame:
