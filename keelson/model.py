@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,14 @@ class Store:
     paths: DataFrame
     #: Key whose claims count; attributes of other keys are invisible to queries.
     owner_key: str = "ka"
+    #: Views of this snapshot that were made once, by name.
+    views: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A view of the snapshot, made at its first use; tables never change, so neither does it."""
+        if name not in self.views:
+            self.views[name] = make()
+        return self.views[name]
 
     @property
     def spark(self) -> SparkSession:
@@ -54,14 +63,23 @@ class Store:
     @classmethod
     def of(cls, spark: SparkSession, owner_key: str = "ka", **tables: DataFrame) -> Store:
         """A store of the given tables; those not given are empty."""
-        return cls(**{f.name: tables[f.name] if f.name in tables else spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls) if f.name != "owner_key"}, owner_key=owner_key)
+        return cls(**{f.name: tables[f.name] if f.name in tables else spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls) if f.name in SCHEMAS}, owner_key=owner_key)
 
     def save(self, folder: str) -> None:
-        """Write all tables as Parquet; blob metadata partitioned by type, so that queries prune it."""
+        """Write all tables as Parquet in files of even size.
+
+        Blob metadata is partitioned by type, and claims are sorted by attribute
+        within files, so that queries skip what they do not ask for.
+        """
         for name in SCHEMAS:
-            df = getattr(self, name)
+            df = getattr(self, name).hint("rebalance")
+            if name == "claims":
+                df = df.sortWithinPartitions("attr", "permanode")
             (df.write.partitionBy("camli_type") if name == "blob_meta" else df.write).mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, owner_key: str = "ka") -> Store:
-        return cls(**{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}, owner_key=owner_key)
+        tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+        # an empty type comes back from its partition as null
+        tables["blob_meta"] = tables["blob_meta"].selectExpr("ref", "size", "coalesce(camli_type, '') as camli_type")
+        return cls(**tables, owner_key=owner_key)

@@ -20,6 +20,11 @@ from keelson.operators import geo, replay
 from keelson.runtime import cut
 
 
+def dead(store: Store) -> DataFrame:
+    """(ref) of what is deleted in a store."""
+    return store.once("dead", lambda: replay.deleted(store.deletions))
+
+
 class Derived:
     """Tables that many leaves share, each made once a query."""
 
@@ -40,9 +45,9 @@ class Derived:
             claims = replay.of_key(claims, self.store.signers, self.store.owner_key)
         return replay.held_values(claims)
 
-    @cached_property
+    @property
     def dead(self) -> DataFrame:
-        return replay.deleted(self.store.deletions)
+        return dead(self.store)
 
     @cached_property
     def modtimes(self) -> DataFrame:
@@ -59,14 +64,21 @@ class Derived:
         after = [S.parsed_time(F.col(n)) for n in TIME_ATTRS_AFTER_FILE]
         return row.join(files, "camliContent", "left").select("permanode", F.coalesce(*before, "f_time", *after, "f_mod").alias("content_time"))
 
-    @cached_property
+    @property
     def times(self) -> DataFrame:
         """(ref, mod, any_time) of objects: last change, and content time or else last change."""
+        return self.store.once("times", lambda: cut(self._times()))
+
+    def _times(self) -> DataFrame:
         t = self.modtimes.join(self.content_times, "permanode", "full")
         return t.select(F.col("permanode").alias("ref"), "mod", F.coalesce("content_time", "mod").alias("any_time"))
 
-    @cached_property
+    @property
     def places(self) -> DataFrame:
+        """(ref, lat, long) of objects with a place."""
+        return self.store.once("places", lambda: cut(self._places()))
+
+    def _places(self) -> DataFrame:
         names = ("latitude", "longitude", "foursquareVenuePermanode", "camliContent")
         first = self.held(None, F.col("attr").isin(*names)).groupBy("permanode", "attr").agg(F.min_by("value", replay.place()).alias("value"))
         return geo.object_places(first, self.store.files, self.store.exif_gps)

@@ -7,10 +7,13 @@ made by a checking engine; ``SHA256`` stands for the engine's digest function.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.model import SCHEMAS, Store
-from keelson.runtime import table
+from keelson.runtime import shared_dir, table
 
 
 def _ref(kind: str, key: str, width: int = 8) -> str:
@@ -55,6 +58,11 @@ PROJECTION: dict[str, list[tuple[str, str, str]]] = {
         ("part", _set("item", "p_partkey", "price", "CAST(p_retailprice AS STRING)", 4), "true"),
         ("orders", _set("order", "o_orderkey", "startDate", "CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T00:00:00Z'", 1), "true"),
         ("orders", _set("order", "o_orderkey", "customer", _ref("place", "o_custkey"), 2), "true"),
+        ("orders", _set("order", "o_orderkey", "camliNodeType", "CASE o_orderkey % 5 WHEN 0 THEN 'twitter.com:tweet' WHEN 1 THEN 'twitter.com:like' WHEN 2 THEN 'foursquare.com:checkin' WHEN 3 THEN 'foursquare.com:person' ELSE 'foursquare.com:venue' END", 3), "o_orderkey % 3 = 0"),
+        ("orders", _set("order", "o_orderkey", "givenName", "'Ann' || CAST(o_orderkey % 100 AS STRING)", 4), "o_orderkey % 5 = 3"),
+        ("part", _set("item", "p_partkey", "with", _ref("order", "p_partkey"), 5), "p_partkey % 3 = 0"),
+        ("part", _set("item", "p_partkey", "camliDefVis", "CASE p_partkey % 2 WHEN 0 THEN 'hide' ELSE 'show' END", 6), "p_partkey % 9 = 0"),
+        ("part", _set("item", "p_partkey", "note", "CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'plain-' || CAST(p_partkey AS STRING) ELSE 'naïve-' || CAST(p_partkey AS STRING) END", 7), "p_partkey % 2 = 0"),
         ("orders", f"'claimmember-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS claim_ref; {_ref('place', 'o_custkey')} AS permanode; 'signer-00' AS signer; {_DATED} AS date; 'add-attribute' AS ctype; 'camliMember' AS attr; {_ref('order', 'o_orderkey')} AS value", "true"),
     ],
     "deletions": [("events", f"{_ref('claim', _TARGET, 10)} AS target; {_ref('claim', 'event_id', 10)} AS deleter", "event_id > 0 AND event_id % 11 = 0")],
@@ -97,27 +105,42 @@ PROJECTION["files"] += [(t, f"{ref} AS file_ref; {name} AS file_name; CAST(0 AS
 SIGNERS = (("signer-00", "ka"), ("signer-01", "ka"), ("signer-02", "kb"))
 
 
-def _project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _project(sources: dict[str, DataFrame], name: str) -> DataFrame:
     out = None
     for source, exprs, where in PROJECTION[name]:
-        df = table(spark, sf_dir, source).where(where)
         cols = [c.strip() for c in exprs.split("; ")]
         distinct = cols[0].startswith("DISTINCT ")
         cols = [c.removeprefix("DISTINCT ") for c in cols]
-        cols = [c.replace("SHA256(text)", "sha2(text, 256)").replace("SHA256(html)", "sha2(html, 256)").replace("octet_length(encode(text))", "octet_length(text)").replace("octet_length(encode(html))", "octet_length(html)") for c in cols]
-        df = df.selectExpr(*cols)
+        cols = [re.sub(r"SHA256\((\w+)\)", r"sha2(\1, 256)", re.sub(r"encode\((\w+)\)", r"\1", c)) for c in cols]
+        df = sources[source].where(where).selectExpr(*cols)
         df = df.distinct() if distinct else df
         out = df if out is None else out.unionAll(df)
     return out
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
+def projected(spark: SparkSession, sf_dir: str) -> Store:
+    """The store as a projection that is computed whenever it is read."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    tables = {name: _project(spark, sf_dir, name) for name in PROJECTION}
+    sources = {s: table(spark, sf_dir, s) for s in sorted({x[0] for parts in PROJECTION.values() for x in parts})}
+    tables = {name: _project(sources, name) for name in PROJECTION}
     tables["signers"] = spark.createDataFrame(list(SIGNERS), SCHEMAS["signers"])
     return Store(**tables)
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store as tables in the shared folder, which an application writes once for each source folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        projected(spark, sf_dir).save(folder)
+        _stores[key] = Store.load(spark, folder)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _stores[key]
+
+
 def sql_tables(*names: str) -> str:
     """The same tables as common table expressions, for a checking engine."""
     out = []
