@@ -82,4 +82,36 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
-SQL = {"op10_warc_chain": _WARC_SQL}
+_REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS INT), 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.p FROM w JOIN f ON f.s = w.s WHERE f.least < w.doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS jump FROM r),
+i AS (SELECT doc_id, p, sum(jump) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g),
+c AS (SELECT doc_id, n, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, n),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM c),
+t AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * before + 1 AS INT), CAST(2 * (a - before) AS INT)), '' ORDER BY a)
+    || substr(any_value(h), CAST(2 * max(b) + 1 AS INT)) AS kept, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+    ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(list_slice(l, i, i + 4), ' ')) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT o.a, o.b FROM o JOIN n p ON p.doc_id = o.a JOIN n q ON q.doc_id = o.b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+r AS (SELECT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
+
+SQL = {"op7_suffix_dedup": _REPEATS_SQL, "op9_forest_join": _JACCARD_SQL, "op10_warc_chain": _WARC_SQL}
