@@ -34,16 +34,21 @@ D = len(FEATURES)
 class QdaParams:
     """Shrinkage towards the pooled covariance, then towards its mean variance."""
 
-    to_pooled: float = 0.5
+    to_pooled: float = 0.9
     to_identity: float = 0.05
     temperature: float = 4.0
     threshold: float = 0.5
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """n x D transformed statistics, clipped to a fixed range."""
+    """n x D transformed statistics, clipped to a fixed range.
+
+    Shares have a fixed number of neutral words or characters in their
+    denominators, so that they mean little in texts of a few words.
+    """
     s = {k: v.astype(float) for k, v in C.text_stats(buf, offs).items()}
-    words, chars = np.maximum(1, s["n_words"]), np.maximum(1, s["n_chars"])
+    words, chars = s["n_words"] + 20, s["n_chars"] + 60
+    letters = s["n_upper"] + s["n_lower"] + 60
 
     def share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip(x / of, 0, 1))
@@ -51,15 +56,15 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.column_stack(
         [
             share(s["n_symbols"], chars),
-            share(s["n_upper"], np.maximum(1, s["n_upper"] + s["n_lower"])),
+            share(s["n_upper"] + 1, letters),
             share(s["n_digits"], chars),
             share(s["n_bangs"], words),
-            share(s["n_stops"], chars),
+            share(s["n_stops"] + 1.5, chars),
             share(s["n_repeat_words"], words),
-            share(s["n_dup_lines"], np.maximum(1, s["n_lines"])),
-            share(s["n_distinct_words"], words),
-            np.clip(np.log1p(s["word_chars"] / words), 0, 6) / 2,
-            np.clip(np.log1p(s["n_words"]), 0, 14) / 5,
+            share(s["n_dup_lines"], s["n_lines"] + 4),
+            share(s["n_distinct_words"] + 16, words),
+            np.clip(np.log1p((s["word_chars"] + 100) / words), 0, 6) / 2,
+            np.clip(np.log1p(words), 0, 14) / 5,
         ]
     )
 
