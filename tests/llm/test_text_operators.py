@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -154,6 +155,18 @@ def test_numbers_that_stand_beside_each_other():
     assert kinds("1.2.3.4.5 and 300.1.1.1 or 10.0.0.255") == [("ip", "10.0.0.255")]
 
 
+def test_mails_equal_one_pattern_and_are_linear():
+    pattern = re.compile(r"[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+")
+    rng = np.random.RandomState(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(list("aé1.+-@@ "), rng.randint(0, 24)))
+        assert list(pii.mails(text)) == [m.span() for m in pattern.finditer(text)], text
+    for text in ("x" * 2_000_000 + " a@b.cd", "x.y-" * 500_000 + " a@b.cd", "@x.y " * 300_000 + "a@b.cd", "a@b.cd " * 100_000, "a@" + "b-" * 500_000 + " a@b.cd"):
+        began = time.process_time()
+        assert pii.entities(text)[-1][3] == "a@b.cd"
+        assert time.process_time() - began < 20
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     """With a domain so small that draws collide, every entity still gets one of its own."""
     draws = pii.surrogate
