@@ -86,9 +86,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def _number(value: bytes | None) -> int | None:
-    m = re.fullmatch(rb"<urn:page:(-?\d+)>", value or b"")
-    return int(m[1]) if m else None
+def _long(pattern: bytes, value: bytes | None) -> int | None:
+    """The number in a field, or None: fields of faked records can hold anything."""
+    m = re.fullmatch(pattern, value or b"")
+    number = int(m[1]) if m and len(m[1]) <= 20 else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
+
+
+def _page(value: bytes | None) -> int | None:
+    return _long(rb"<urn:page:(-?\d+)>", value)
 
 
 def candidates(content: bytes) -> Iterator[tuple]:
@@ -99,17 +105,17 @@ def candidates(content: bytes) -> Iterator[tuple]:
         if end < 0:
             return
         fields = {k.lower(): v for k, v in _FIELD.findall(content, at + len(MAGIC), end + 2)}
-        size = fields.get(b"content-length", b"")
-        stop = end + 4 + int(size) if size.isdigit() else -1
+        size = _long(rb"(\d+)", fields.get(b"content-length"))
+        stop = -1 if size is None else end + 4 + size
         kind = fields.get(b"warc-type", b"")
         if 0 <= stop <= len(content) - 4 and content[stop : stop + 4] == b"\r\n\r\n" and kind in (b"response", b"revisit"):
             if kind == b"response":
                 body = content.find(b"\r\n\r\n", end + 4, stop)
-                payload = content[body + 4 : stop]
+                payload = content[body + 4 : stop] if body >= 0 else b""
                 length, digest = len(payload), digest32(payload)
             else:
-                length, digest = int(fields.get(b"warc-payload-length", b"0")), fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
-            yield at, stop + 4, _number(fields.get(b"warc-record-id")), length, digest, kind.decode(), _number(fields.get(b"warc-refers-to"))
+                length, digest = _long(rb"(\d+)", fields.get(b"warc-payload-length")), fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
+            yield at, stop + 4, _page(fields.get(b"warc-record-id")), length, digest, kind.decode(), _page(fields.get(b"warc-refers-to"))
         at = content.find(MAGIC, at + 1)
 
 

@@ -189,6 +189,21 @@ def test_small_payloads_are_responses(spark):
     assert {r["record_type"] for r in warc.round_trip(pages, min_bytes=5).collect()} == {"response"}
 
 
+def test_fakes_with_odd_fields_are_rejected(spark):
+    def fake(**fields):
+        return "x\r\n\r\n" + warc.MAGIC.decode() + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items()) + "\r\n\r\n\r\n and more"
+
+    html = [
+        fake(WARC_Type="revisit", Content_Length=0, WARC_Payload_Length="abc", WARC_Record_ID=f"<urn:page:{'9' * 30}>"),
+        fake(WARC_Type="revisit", Content_Length=0, WARC_Payload_Length="9" * 25, WARC_Refers_To=f"<urn:page:-{'9' * 19}>"),
+        fake(WARC_Type="response", Content_Length="9" * 5000),
+        fake(WARC_Type="response", Content_Length=0, WARC_Record_ID="<urn:page:1>"),
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("http://a/"))
+    got = sorted(tuple(r) for r in warc.round_trip(pages).collect())
+    assert got == [(i, len(h), warc.digest32(h.encode()), "response", None) for i, h in enumerate(html)]
+
+
 def test_archives_equal_their_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
