@@ -238,8 +238,9 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
             at = raw.find(mark)
             while at >= 0:
                 d = int(np.searchsorted(offs, at, side="right")) - 1
-                sure[d] = True
-                at = raw.find(mark, int(offs[d + 1]) - 1)
+                end = int(offs[d + 1])
+                sure[d] |= at + len(mark) <= end  # what lies across a boundary does not count
+                at = raw.find(mark, end)
     return np.flatnonzero(sure)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import signal
 import time
 import zlib
 from collections import Counter
@@ -155,6 +156,20 @@ def test_numbers_that_stand_beside_each_other():
     assert kinds("1.2.3.4.5 and 300.1.1.1 or 10.0.0.255") == [("ip", "10.0.0.255")]
 
 
+def test_title_across_two_texts():
+    """'...D' and 'on the way' form a title that is in neither text; the search ends."""
+    texts = ["LAND", "on the way", "Don Carlo", "M", "", "r Low, Mr Low", "D", "r. "]
+    raw = [t.encode() for t in texts]
+    old = signal.signal(signal.SIGALRM, lambda *_: pytest.fail("the search for titles does not end"))
+    signal.alarm(20)
+    try:
+        at = pii._suspects(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, old)
+    assert at.tolist() == [2, 5]
+
+
 def test_mails_equal_one_pattern_and_are_linear():
     pattern = re.compile(r"[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+")
     rng = np.random.RandomState(4)
