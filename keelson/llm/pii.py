@@ -64,6 +64,11 @@ PATTERNS = (
     ("person", re.compile(rf"(?<!\w)({_TITLE})\.? ({_NAME}(?: {_NAME})?)")),
 )
 
+#: What secrets that need not be hex begin with, and titles as they stand before a name.
+_MARKS = tuple(m.encode() for m in ("AKIA", "ASIA", *(f"gh{c}_" for c in "pousr"), "sk-", *(f"{t}{stop} " for g in TITLES.values() for t in g for stop in ("", "."))))
+#: First bytes of digits that are not ASCII: both of two, or three; planes from 2 on have none.
+_DIGIT_HEADS = np.array(sorted({int.from_bytes(chr(c).encode()[:3], "big") for c in range(0x80, 0x20000) if chr(c).isdecimal()}))
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -228,19 +233,40 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int], cache:
     return "".join(out) + text[at:], found
 
 
+def _holds(raw: bytes, offs: np.ndarray, mark: bytes) -> Iterator[int]:
+    """Documents that hold ``mark``; what lies across a boundary does not count."""
+    at = raw.find(mark)
+    while at >= 0:
+        d = int(np.searchsorted(offs, at, side="right")) - 1
+        end = int(offs[d + 1])
+        if at + len(mark) <= end:
+            yield d
+        at = raw.find(mark, end)
+
+
 def _suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Documents that may hold an entity: an @, seven digits, or a title."""
-    digit = (buf >= 48) & (buf <= 57)
-    sure = (C.per_doc_sum(digit, offs) >= 7) | (C.per_doc_sum(buf == 64, offs) > 0)
+    """Documents that may hold an entity: each pattern needs one of these.
+
+    Mail an @; phone, card and national number seven digits; IP three times a dot
+    between digits; account two capitals and two digits; secret a head or 32 hex
+    characters in a row, thus an aligned block of 16; person a title. Digits that
+    are not ASCII, which patterns also take, suffice alone.
+    """
+    padded = np.concatenate((buf, np.zeros(3, np.uint8)))
+    digit, upper = (padded >= 48) & (padded <= 57), (padded >= 65) & (padded <= 90)
+    dotted = digit[:-3] & (padded[1:-2] == 46) & digit[2:-1]
+    sure = (C.per_doc_sum(digit[:-3], offs) >= 7) | (C.per_doc_sum(buf == 64, offs) > 0) | (C.per_doc_sum(dotted, offs) >= 3)
+    letter = padded | 32
+    hexes = (digit | (letter >= 97) & (letter <= 102))[: len(buf) // 16 * 16].reshape(-1, 16).all(axis=1)
+    heads = np.flatnonzero(buf >= 0xC2)
+    two = padded[heads].astype(np.int64) << 8 | padded[heads + 1]
+    heads = heads[np.isin(two, _DIGIT_HEADS) | np.isin(two << 8 | padded[heads + 2], _DIGIT_HEADS)]
+    for at in (np.flatnonzero(upper[:-3] & upper[1:-2] & digit[2:-1] & digit[3:]), 16 * np.flatnonzero(hexes), heads):
+        sure[np.searchsorted(offs, at, side="right") - 1] = True
     raw = buf.tobytes()
-    for title in (t for g in TITLES.values() for t in g):
-        for mark in (f"{title} ".encode(), f"{title}. ".encode()):
-            at = raw.find(mark)
-            while at >= 0:
-                d = int(np.searchsorted(offs, at, side="right")) - 1
-                end = int(offs[d + 1])
-                sure[d] |= at + len(mark) <= end  # what lies across a boundary does not count
-                at = raw.find(mark, end)
+    for mark in _MARKS:
+        for d in _holds(raw, offs, mark):
+            sure[d] = True
     return np.flatnonzero(sure)
 
 

@@ -170,6 +170,20 @@ def test_title_across_two_texts():
     assert at.tolist() == [2, 5]
 
 
+def test_every_entity_passes_the_prefilter(spark):
+    """Entities alone in a text, with few or no ASCII digits, are found as by entities()."""
+    alone = ["10.0.0.1", "8.8.8.8", "sk-" + "abcdefghij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "ASIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "abcdefghijkl" * 3 for c in "pousr"), "deadbeef" * 4, "DEADBEEF" * 4, "١٢٣-٤٥-٦٧٨٩", "１２３-４５-６７８９", "𝟏" * 3 + "-" + "𝟏" * 2 + "-" + "𝟏" * 4, "a@b.cd", "Prof. Low"]
+    alone.append(next(x for x in (f"GB{d:02d}ABCDEFGHIJKLMNOP" for d in range(100)) if pii.iban_check(x) == 1))
+    rows = [(i, f"{'x' * (i % 17)} see {t} now") for i, t in enumerate(alone)]
+    assert all(pii.entities(t) for _, t in rows)
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    for i, text in rows:
+        found = pii.entities(text)
+        assert (got[i]["n_entities"], got[i]["kinds"]) == (len(found), ",".join(sorted({x[2] for x in found}))), text
+        assert alone[i] not in got[i]["text"]
+    assert pii._suspects(np.frombuffer("plain words, 3.5 times 10.".encode(), np.uint8), np.array([0, 26])).size == 0
+
+
 def test_mails_equal_one_pattern_and_are_linear():
     pattern = re.compile(r"[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+")
     rng = np.random.RandomState(4)
