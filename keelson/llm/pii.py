@@ -7,7 +7,9 @@ and accounts with right check digits, persons by names of the title's gender and
 the name's script. One entity, however it is written, has one surrogate in the
 whole corpus. A collision check over the distinct entities redraws a surrogate
 that another entity also drew or that is itself an entity of the corpus, until
-none is left. Tasks compute first draws themselves; only redrawn entities travel.
+none is left; persons are compared as they are written, without the gender. Tasks
+compute first draws themselves; only redrawn entities travel, and names after a
+neutral title that stand for the one person of known gender with this name.
 
 Defined results: a null text stays null and an empty one empty, with no
 entities. Equal texts get equal results.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +50,8 @@ SYLLABLES = {
     "greek": "βα βε βο δα δε δο φα φι γα γο κα κε λα λε λο μα με μι να νε νο πα πε ρα ρε ρο σα σε τα τε το ζα".split(),
 }
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’-]+"
+#: Two neighbouring words that may be a full name.
+_FULL = re.compile(rf"(?<!\w){_NAME}(?= ({_NAME}))")
 _TITLE = "|".join(re.escape(t) for g in TITLES.values() for t in g)
 
 #: The part of a mail address from the @ on, and the part before it, read backwards.
@@ -103,9 +107,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     Of overlapping candidates the one whose kind comes first stays: mail addresses,
     then in the order of PATTERNS.
     A person's canonical form has gender, script and name, so that any title of
-    one gender refers to the same person.
+    one gender refers to the same person. A full name that has a title somewhere
+    in the text is the same person where it has none.
     """
     found = [(s, e, "email", text[s:e].lower()) for s, e in mails(text)]
+
+    def place(s: int, e: int, kind: str, canon: str) -> None:
+        i = bisect_left(found, (s,))
+        if (i == 0 or found[i - 1][1] <= s) and (i == len(found) or found[i][0] >= e):
+            found.insert(i, (s, e, kind, canon))
+
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
             s, e = m.span(2) if kind == "person" else m.span()
@@ -132,12 +143,24 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 canon = f"{gender}/{script(value)}/{value}"
             else:
                 canon = value if kind == "ip" else bare
-            i = bisect_left(found, (s,))
-            if (i == 0 or found[i - 1][1] <= s) and (i == len(found) or found[i][0] >= e):
-                found.insert(i, (s, e, kind, canon))
+            place(s, e, kind, canon)
+    full: dict[str, str] = {}
+    for canon in sorted({c for _, _, k, c in found if k == "person" and " " in c}):  # a known gender before none
+        full.setdefault(written(canon), canon)
+    for m in _FULL.finditer(text) if full else ():
+        for last in (m[1], re.sub(r"(?:['’]\w*|-+)$", "", m[1])):
+            name = f"{m[0]} {last}"
+            if name in full:
+                place(m.start(), m.start() + len(name), "person", full[name])
+                break
     return found
 
 
+def written(person: str) -> str:
+    """The name alone of a person's canonical form."""
+    return person.split("/", 2)[2]
+
+
 class Stream:
     """Numbers drawn from a key and a message."""
 
@@ -192,7 +215,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "person":
         gender, alphabet, name = canon.split("/", 2)
         pool = GIVEN[alphabet].get(gender) or GIVEN[alphabet]["m"] + GIVEN[alphabet]["f"]
-        family = "".join(SYLLABLES[alphabet][draw.below(32)] for _ in range(4)).capitalize()
+        family = "".join(SYLLABLES[alphabet][draw.below(32)] for _ in range(4 + attempt // 8)).capitalize()  # longer where names get scarce
         return f"{gender}/{alphabet}/" + (f"{pool[draw.below(len(pool))]} {family}" if " " in name else family)
     return canon[:1] * (kind == "phone" and len(canon) > 10) + "".join(str(draw.below(10)) for _ in canon[kind == "phone" and len(canon) > 10 :])
 
@@ -200,7 +223,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 def rendered(kind: str, found: str, new: str) -> str:
     """The replacement in the form in which the entity was written."""
     if kind == "person":
-        return new.split("/", 2)[2]
+        return written(new)
     if kind in ("card", "ssn", "phone", "iban"):
         digits = iter(new)
         skip = sum(c.isalnum() for c in found) - len(new)  # a country code that is not part of the canonical form
@@ -219,10 +242,11 @@ def rendered(kind: str, found: str, new: str) -> str:
     return new
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int], cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replace(text: str, key: bytes, changes: dict[tuple[str, str], tuple[str, int]], cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and what was replaced; ``changes`` has (canonical form, attempt) of entities that do not have the first draw of their own."""
     found, out, at = entities(text), [], 0
     for s, e, kind, canon in found:
-        tried = (kind, canon, attempts.get((kind, canon), 0))
+        tried = (kind, *changes.get((kind, canon), (canon, 0)))
         new = cache.get(tried) if cache is not None else None
         if new is None:
             new = surrogate(key, *tried)
@@ -289,12 +313,26 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, kind string, canon string")
 
 
+def _written(kind: str, canon: str) -> Column:
+    """What two entities must not have in common: the canonical form, of persons the name."""
+    return F.when(F.col(kind) == "person", F.regexp_replace(canon, "^[^/]*/[^/]*/", "")).otherwise(F.col(canon))
+
+
+def same_persons(known: DataFrame) -> DataFrame:
+    """(kind, canon, entity) of persons without gender whose name one gender alone has, and that person."""
+    neutral = F.col("canon").startswith("n/")
+    names = known.where("kind = 'person'").groupBy("kind", _written("kind", "canon").alias("name"))
+    names = names.agg(F.min(F.when(neutral, F.col("canon"))).alias("canon"), F.min(F.when(~neutral, F.col("canon"))).alias("entity"), F.max(F.when(~neutral, F.col("canon"))).alias("other"))
+    return names.where("canon is not null and entity = other").select("kind", "canon", "entity")
+
+
 def redraws(known: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt) of entities whose first surrogate collides.
 
     ``known`` (kind, canon) has each entity once. A draw stands if no entity has
     this form, no earlier winner has it, and among equal draws the smallest
-    entity drew it; the others draw again until no loser is left.
+    entity drew it; the others draw again until no loser is left. Forms are
+    compared as they are written.
     """
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
@@ -303,9 +341,9 @@ def redraws(known: DataFrame, key: bytes) -> DataFrame:
                 new = [surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "canon", "value"])
 
-        return df.select("kind", "canon").mapInArrow(run, "kind string, canon string, value string").withColumn("attempt", F.lit(attempt))
+        return df.select("kind", "canon").mapInArrow(run, "kind string, canon string, value string").withColumn("value", _written("kind", "value")).withColumn("attempt", F.lit(attempt))
 
-    names = known.select("kind", F.col("canon").alias("value"))
+    names = known.select("kind", _written("kind", "canon").alias("value"))
     pending, won, attempt = known, None, 0
     while True:
         draws = drawn(pending, attempt)
@@ -331,11 +369,14 @@ def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_
     docs = docs.select("doc_id", "text", *(f"other_{i}" for i in range(len(others))))
     hits = find_entities(docs.select("doc_id", "text"))
     known = C.cut(hits.select("kind", "canon").distinct())
-    again = redraws(known, key)
+    same = C.cut(same_persons(known))
+    again = redraws(known.join(same, ["kind", "canon"], "left_anti"), key)
+    attempts = again.select("kind", F.col("canon").alias("entity"), "attempt")
+    again = again.select("kind", "canon", F.col("canon").alias("entity"), "attempt").unionByName(same.join(attempts, ["kind", "entity"], "left").select("kind", "canon", "entity", F.coalesce("attempt", F.lit(0)).alias("attempt")))
     if again.isEmpty():
-        docs = docs.withColumn("again", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
-    else:  # only documents with a redrawn entity need more than the key
-        per_doc = hits.join(again, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("again"))
+        docs = docs.withColumn("again", F.lit(None).cast("array<struct<kind:string,canon:string,entity:string,attempt:int>>"))
+    else:  # only documents with such an entity need more than the key
+        per_doc = hits.join(again, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "entity", "attempt")).alias("again"))
         docs = docs.join(C.checked_broadcast(per_doc), "doc_id", "left")
     names = [f"other_{i}" for i in range(len(others))]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.StringType()), *(T.StructField(n, f.dataType) for n, f in zip(names, others, strict=True))])
@@ -347,8 +388,8 @@ def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_
             redrawn = batch.column("again")
             for i in at:
                 if text[i]:
-                    attempts = {(x["kind"], x["canon"]): x["attempt"] for x in redrawn[int(i)].as_py() or ()}
-                    text[i], found = replace(text[i], key, attempts, cache)
+                    changes = {(x["kind"], x["canon"]): (x["entity"], x["attempt"]) for x in redrawn[int(i)].as_py() or ()}
+                    text[i], found = replace(text[i], key, changes, cache)
                     n[i], kinds[i] = len(found), ",".join(sorted({x[2] for x in found}))
             yield pa.record_batch([batch.column("doc_id"), pa.array(text, pa.string()), pa.array(n), pa.array(kinds, pa.string()), *(batch.column(x) for x in names)], names=["doc_id", "text", "n_entities", "kinds", *names])
 

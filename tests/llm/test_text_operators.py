@@ -184,6 +184,20 @@ def test_every_entity_passes_the_prefilter(spark):
     assert pii._suspects(np.frombuffer("plain words, 3.5 times 10.".encode(), np.uint8), np.array([0, 26])).size == 0
 
 
+def test_persons_are_told_apart_as_written(spark, monkeypatch):
+    texts = ["Mrs Anna Low met Mr Paul Low.", "Anna Low saw Dr Anna Low, then Anna Low's cat; Joanna Low, Anna Lower", "Dr Kim Ray, Mr Kim Ray, Mrs Kim Ray"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(rows, b"key").collect()}
+    anna = re.match(r"Mrs (\w+ \w+) met", got[0])[1]
+    assert got[1] == f"{anna} saw Dr {anna}, then {anna}'s cat; Joanna Low, Anna Lower"
+    assert len(set(re.findall(r"Dr (.+), Mr (.+), Mrs (.+)", got[2])[0])) == 3  # Dr could be either
+    draws = {"m/latin/Bo": ["Mila", "Nora"], "f/latin/Ka": ["Mila"], "n/latin/Lu": ["Ka", "Nora", "Tara"]}  # one name, whatever the gender
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, attempt: f"{canon[0]}/latin/{draws[canon][attempt]}")
+    known = spark.createDataFrame([("person", c) for c in draws], "kind string, canon string")
+    again = {r["canon"]: r["attempt"] for r in pii.redraws(known, b"k").collect()}
+    assert len({draws[c][again.get(c, 0)] for c in draws} - {"Ka"}) == 3
+
+
 def test_mails_equal_one_pattern_and_are_linear():
     pattern = re.compile(r"[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+")
     rng = np.random.RandomState(4)
