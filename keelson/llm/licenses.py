@@ -1,9 +1,9 @@
 """Licence scans by ordered signature rules.
 
 Each rule is a regular expression over the lower-cased text, gated by keywords:
-it runs only on texts that hold all of its keywords as words. Keywords are found
-for a whole block at once by vectorised word hashes, so texts without any are
-never searched. Detections are resolved in rule order: one whose interval lies
+it runs only on texts that hold all of its keywords as words. Texts without any
+of a few strings, one of which every match of the default rules holds, are never
+searched. Detections are resolved in rule order: one whose interval lies
 inside that of a detection of higher priority (or of equal priority and at least
 its length) is suppressed.
 
@@ -70,9 +70,9 @@ NAMES = (
     ("php", r"php\s+licen[sc]e", "php"),
     ("ruby", r"ruby\s+licen[sc]e", "ruby"),
     ("postgresql", r"postgresql\s+licen[sc]e", "postgresql"),
-    ("unlicense", r"(?:the\s+)?unlicense", "unlicense"),
+    ("unlicense", r"(?:the\s+)?unlicense", ""),
     ("wtfpl", r"do\s+what\s+the\s+\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", "what public"),
-    ("cecill", r"cecill(?:-[bc])?(?:\s+(?:free\s+software\s+)?licen[sc]e)?", "cecill"),
+    ("cecill", r"cecill(?:-[bc])?(?:\s+(?:free\s+software\s+)?licen[sc]e)?", ""),
     ("afl", r"academic\s+free\s+licen[sc]e", "academic free"),
     ("osl", r"open\s+software\s+licen[sc]e", "open software"),
     ("ecl", r"educational\s+community\s+licen[sc]e", "educational community"),
@@ -90,7 +90,7 @@ NAMES = (
 FORMS = (
     (r"(?:licen[sc]ed|released|distributed|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{name})(?:\s*,?\s*v(?:ersion)?\.?\s*[0-9][0-9.]*)?", 1.0, "under"),
     (r"(?:{name})\s*,?\s*v(?:ersion\s+|\.?\s*)[0-9](?:\.[0-9]+)*(?:\s+or\s+(?:any\s+)?later)?", 0.9, ""),
-    (r"(?:copyright|\(c\)|©)[^\n]{{0,80}}(?:{name})", 0.8, "copyright"),
+    (r"(?:copyright|\(c\)|©)[^\n]{{0,80}}(?:{name})", 0.8, ""),
     (r"see\s+(?:the\s+)?(?:{name})\s+for\s+(?:more\s+)?details", 0.8, "see details"),
     (r"(?:{name})", 0.6, ""),
 )
@@ -128,12 +128,20 @@ def default_rules() -> tuple[Rule, ...]:
     return tuple(named + [rule(*x) for x in OTHERS])
 
 
-#: A text is looked at only if it has one of these; each rule's match holds one as a word.
+#: A text is looked at only if it has one of these anywhere; each match of the default rules holds one.
 GATES = (
     *("license", "licence", "unlicense", "spdx", "permission", "redistribution", "public", "rights", "proprietary", "software"),
-    *("cecill", "cc", "cc0", "creative", "gpl", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3"),
-    *(f"{kind}{v}" for kind in ("gpl", "lgpl", "agpl") for v in (1, 2, 3)),
+    *("cecill", "cc", "cc0", "creative", "gpl", "lgpl", "agpl"),
+    *(f"{kind}{v}{n}" for kind in ("gpl", "lgpl", "agpl") for v in ("", "v") for n in range(10)),
 )
+#: Those that hold no other one; "cc", which many words have, only as a word.
+_PARTS = tuple(g.encode() for g in GATES if g != "cc" and not any(o != g and o != "cc" and o in g for o in GATES))
+_CC = re.compile(rb"cc(?<![0-9a-z]cc)(?![0-9a-z])")
+
+
+def gated(text: bytes) -> bool:
+    """Whether a default rule may match the lower-case ``text``."""
+    return any(p in text for p in _PARTS) or _CC.search(text) is not None
 
 
 def detect(text: str, words: frozenset[str] | set[str], rules: tuple[Rule, ...]) -> list[tuple[int, int, str, float]]:
@@ -162,7 +170,6 @@ def scan_licenses(documents: DataFrame, rules: tuple[Rule, ...] | None = None, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = own or default_rules()
-        gates = np.array([C.word_hash(w) for w in GATES], np.uint64)
         phrases = [[np.uint64(C.word_hash(w)) for w in p] for p in words_of]
         for batch, buf, offs in C.slices(batches):
             n = batch.num_rows
@@ -187,8 +194,11 @@ def scan_licenses(documents: DataFrame, rules: tuple[Rule, ...] | None = None, s
             np.maximum.at(last, where, at - runs[where])
             score, labels, found = np.zeros(n), [], [[] for _ in range(n)]
             raw = low.tobytes()
-            for d in np.unique(doc[np.isin(h, gates)]):
-                text = raw[offs[d] : offs[d + 1]].decode("utf-8", "replace")
+            for d in range(n):
+                part = raw[offs[d] : offs[d + 1]]
+                if own is None and not gated(part):
+                    continue
+                text = part.decode("utf-8", "replace")
                 # ASCII parts count as keywords; "mit-style" has mit and style
                 found[d] = detect(text, set(re.findall(r"[0-9a-z]+", text)), rules)
             for d in range(n):

@@ -125,6 +125,22 @@ def test_signature_rules():
     assert all(any(w in licenses.GATES for w in re.findall(r"[0-9a-z]+", t)) for t in ("gplv3", "cc0", "unlicense", "released into the public domain", "all rights reserved"))
 
 
+def test_scan_equals_rules_without_gate(spark):
+    """Licence names beside bytes that are not ASCII, and forms whose words stick together."""
+    texts = ["“MIT License”", "«Apache License»", "mit license—see", "MIT License™", "the mit\u00a0license.", "“GPLv2”", "gplv1 lgplv1", "agplv2", "gplv4 or lgpl9", "“cc0”", "cc\u00a0by", "„All Rights Reserved“", "mit licensev2", "cecillv2", "unlicensev1", "cc0v1", "(c) 2020 X, MIT license", "© X, bsd licence", "“Released into the public domain”", "“SPDX-License-Identifier: MIT”", "accept nothing"]
+    rules = licenses.default_rules()
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        every = set(re.findall(r"[0-9a-z]+", low)).union(*(r.keywords for r in rules))  # no rule is kept out by keywords either
+        found = licenses.detect(low, every, rules)
+        assert set(got[i]["labels"].split(",")) - {""} == {x[2] for x in found} | set(filter(None, got[i]["base_labels"].split(","))), text
+        assert got[i]["score"] == max([0.5 * (got[i]["n_base"] > 0), *(x[3] for x in found)]), text
+        assert bool(found) == (text != texts[-1]), text
+    own = (licenses.Rule("x", re.compile("zebra"), 1.0, frozenset()),)
+    assert licenses.scan_licenses(spark.createDataFrame([(1, "a zebra")], "doc_id long, text string"), own).first()["labels"] == "x"
+
+
 def test_surrogates(spark, odd):
     mails = "Write to Anna.Low@mail1.example.com or anna.low@MAIL1.example.com; call +1 (743) 555-3824, 743-555-3824; card 4111 1111 1111 1111; 192.168.3.77; Mr John Smith and Mrs Jane Smith; token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\"; г-н Иванов"
     rows = spark.createDataFrame([(100, mails, "k"), (101, "number 4111111111111112 stays, so does 1.2.3", "k"), (102, "ask anna.low@mail1.example.com", "k")], "doc_id long, text string, kinds string")
