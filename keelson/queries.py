@@ -332,7 +332,9 @@ on_store("describe_members_desc_05", lambda s: describe.members(s.dir_children),
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    ref = F.concat(F.lit("line-"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.col("l_linenumber").cast("string"))
+    key = F.col("l_orderkey").cast("string")
+    key = F.when(F.length(key) < 8, F.lpad(key, 8, "0")).otherwise(key)  # lpad alone cuts longer keys
+    ref = F.concat(F.lit("line-"), key, F.col("l_linenumber").cast("string"))
     size = F.floor("l_extendedprice").cast("bigint")
     one = rows.where("l_returnflag <> 'R'").select(ref.alias("ref"), size.alias("size"))
     two = rows.where("l_linestatus = 'O' or l_returnflag = 'R'").select(ref.alias("ref"), F.when(F.col("l_orderkey") % 50 == 0, size + 1).otherwise(size).alias("size"))

@@ -33,6 +33,13 @@ def test_set_operations(spark):
     assert pairs(sets.missing(a, b.limit(0))) == pairs(a)
 
 
+def test_line_keys_are_never_cut(spark, tmp_path):
+    rows = [(123456781, 1, "N", "O", 5.5), (123456782, 1, "N", "O", 7.5), (7, 1, "N", "O", 9.5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one, _ = queries._two(spark, str(tmp_path))
+    assert {tuple(r) for r in one.collect()} == {("line-1234567811", 5), ("line-1234567821", 7), ("line-000000071", 9)}
+
+
 def test_archives_close_at_the_minimum(spark):
     rows = sets.archives(blobs(spark, *((f"x-{i}", 4) for i in range(6))), 8).collect()
     assert [r["archive"] for r in sorted(rows)] == ["0-0", "0-0", "0-1", "0-1", "0-2", "0-2"]
