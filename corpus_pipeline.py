@@ -38,10 +38,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; bytes of broken characters go too."""
-    cut_docs = dedup.remove_repeats(docs, keep_others=True)
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    return _with_text(cut_docs, docs, text)
+    """Cuts passages that an earlier document has; what is left of characters at the cuts goes too."""
+    cut_docs = dedup.remove_repeats(docs, keep_others=True, whole_chars=True)
+    return _with_text(cut_docs, docs, F.col("kept").cast("string"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,8 +363,11 @@ def resolve(sent: DataFrame) -> DataFrame:
     return sent.groupBy("key").applyInArrow(run, "key long, blob binary")
 
 
-def cut_repeats(texts: DataFrame, marks: DataFrame, others_schema: T.StructType) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, other columns) of every document of every block."""
+def cut_repeats(texts: DataFrame, marks: DataFrame, others_schema: T.StructType, whole_chars: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, other columns) of every document of every block.
+
+    With ``whole_chars`` characters of which a cut takes a part are not in ``kept``.
+    """
     counts = [T.StructField(n, T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([*counts, T.StructField("kept", T.BinaryType()), *others_schema.fields])
 
@@ -402,7 +405,12 @@ def cut_repeats(texts: DataFrame, marks: DataFrame, others_schema: T.StructType)
                 edge = ends[:-1][ends[:-1] < len(part)]
                 begins[edge] = gone[edge]
                 n_gone, n_spans = C.per_doc_sum(gone, ends), C.per_doc_sum(begins, ends)
-                kept_ends = ends[1:] - np.cumsum(n_gone)
+                if whole_chars and gone.any():
+                    char = np.maximum(np.cumsum(C.NOT_TAIL[part]) - 1, 0)
+                    hit = np.zeros(int(char[-1]) + 1, bool)
+                    hit[char[gone]] = True
+                    gone = hit[char]
+                kept_ends = ends[1:] - np.cumsum(C.per_doc_sum(gone, ends))
                 kept = pa.Array.from_buffers(pa.large_binary(), to - first, [None, pa.py_buffer(np.concatenate(([0], kept_ends)).astype(np.int64)), pa.py_buffer(part[~gone])])
                 cut = pa.table([pa.array(ids[first:to]), C.long_column(np.diff(ends)), C.long_column(n_gone), C.long_column(n_spans), kept.cast(pa.binary())], names=schema.names[:5])
                 for name in schema.names[5:]:
@@ -413,10 +421,11 @@ def cut_repeats(texts: DataFrame, marks: DataFrame, others_schema: T.StructType)
     return texts.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(run, schema)
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_others: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_others: bool = False, whole_chars: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row.
 
-    With ``keep_others`` the other columns of the input follow, as they are.
+    With ``keep_others`` the other columns of the input follow, as they are. With
+    ``whole_chars`` what a cut leaves of a character goes too, beside the counts.
     """
     docs, others = C.with_others(documents, id_col, text_col)
     others = others if keep_others else []
@@ -429,5 +438,5 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = shared_anchors(send_anchors(known.select("doc_id", "text"), blocks, buckets))
     marks = resolve(send_surroundings(texts, shared, buckets))
     rest = docs.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), *names)
-    out = cut_repeats(texts, marks, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, others, strict=True)])).unionByName(rest)
+    out = cut_repeats(texts, marks, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, others, strict=True)]), whole_chars).unionByName(rest)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(f.name) for n, f in zip(names, others, strict=True)))

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keelson.llm import bcr, dedup, forest, graph, queries, warc
 
 
@@ -239,3 +240,13 @@ def test_pipeline(spark, data):
     packed = c.best_fit(spark, masked, data)
     assert packed.agg(F.sum("length")).first()[0] == masked.agg(F.sum(F.octet_length("text"))).first()[0]
     assert c.run(spark, data).count() > 0
+
+
+def test_cuts_leave_replacement_characters_of_the_text(spark):
+    """Only what a cut leaves of a character goes; U+FFFD of the text itself stays."""
+    passage = "\u00e9" + "".join(chr(97 + i * 7 % 26) for i in range(60)) + "\u00e9"
+    rows = [(1, "x" + passage + "y"), (2, "own \ufffd \u0269" + passage[1:-1] + "\u00e8 \ufffd end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert got[1]["text"] == rows[0][1]
+    assert (got[2]["text"], got[2]["n_chars"]) == ("own \ufffd  \ufffd end", 12)
