@@ -97,6 +97,12 @@ def test_rows_without_id_are_kept(spark):
     assert got == {(None, 0), (5, 0), (9, len(text))}
 
 
+def plain_links(rows):
+    """(doc_id, doc_id, linked) of neighbouring rows that are not equal."""
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, t.split()) for i, t in rows)]
+    return [(i, j, 5 * len(a & b) >= 4 * len(a | b)) for (i, a), (j, b) in zip(sets[::2], sets[1::2], strict=True) if a != b]
+
+
 def plain_classes(rows):
     ids, sets = [], []
     for i, t in rows:
@@ -130,16 +136,58 @@ def plain_classes(rows):
     return sorted((ids[k], least[find(k)], links[k]) for k in range(len(ids)))
 
 
-@pytest.mark.parametrize("part", [1024, 16])
+@pytest.mark.parametrize("part", [256, 16])
 def test_classes_equal_brute_force(frame, corpus, part):
-    got = forest.jaccard_classes(frame, forest.ForestParams(part_rows=part))
+    got = forest.jaccard_classes(frame, forest.ForestParams(part_rows=part, task_rows=300, task_bytes=1 << 18))
     assert sorted(tuple(r) for r in got.collect()) == plain_classes(corpus)
 
 
-def test_matched_depth_reaches_the_recall():
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one), (1, two), (5, two), (6, one + " more"), (None, one), (1, one), (9, None), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in forest.jaccard_classes(frame).collect()), key=repr)
+    assert got == sorted([(1, 1, 2), (1, 1, 1), (5, 1, 1), (6, 1, 2), (None, None, 0), (1, 1, 2), (9, 9, 0), (9, 9, 0)], key=repr)
+    kept = sorted((tuple(r) for r in corpus_pipeline.jaccard_join(spark, frame, "").collect()), key=repr)
+    assert kept == sorted([(1, one), (1, two), (None, one), (9, None), (9, None)], key=repr)
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """Sets at known similarities to their bases, in steps over the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for b in range(300):
+        words = [f"b{b}w{k}" for k in range(204)]
+        changed = list(words)
+        for k in rng.sample(range(0, 200, 5), b % 5):
+            changed[k] = f"c{b}w{k}"
+        rows += [(2 * b, " ".join(words)), (2 * b + 1, " ".join(changed))]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").cache()
+
+
+def forest_sets(frame, p):
+    marked = forest.signatures(frame.withColumn("h", F.lit(0).cast("long")), p)
+    return marked.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("labels").alias("labels")).select("node", "n", "labels").cache()
+
+
+def test_descent_ends_where_what_was_found_is_found_with_the_recall(near_copies):
+    """Far copies need shorter prefixes than near ones; the recall at each end is measured."""
+    rows, frame = near_copies
     p = forest.ForestParams()
-    d, s = p.matched_depth(), 0.8
-    assert 1 - (1 - s**d) ** p.trees >= p.target_recall > 1 - (1 - s ** (d + 1)) ** p.trees
+    assert p.recall(0.8, p.least_depth()) >= p.target_recall > p.recall(0.8, p.least_depth() + 1)
+    _, near_depth, near = forest.descend(forest_sets(frame.where("doc_id % 10 < 4"), p), p)
+    members, far_depth, far = forest.descend(forest_sets(frame, p), p)
+    assert near_depth > far_depth >= p.least_depth() and min(near) > min(far)
+    assert p.recall(min(a for a in far if a >= 0.8 * p.values) / p.values, far_depth) >= p.target_recall
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(tuple(r[c] for c in ("tree", "depth", "prefix", "low", "high", "root")), set()).add(r["node"])
+    links = [(i, j) for i, j, n in plain_links(rows) if n]
+    missed = [x for x in links if not any({*x} <= g for g in groups.values())]
+    print(f"recall at depth {far_depth}: {1 - len(missed) / len(links):.5f} of {len(links)} links")
+    assert len(links) > 150 and not missed
 
 
 def test_similarity_is_decided_by_whole_numbers():
