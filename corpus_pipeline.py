@@ -26,14 +26,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near copies the document with the smallest id, once."""
-    classes = cut(forest.jaccard_classes(docs))
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti")
-    again = classes.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():  # rows that occur several times under one id
-        again = checked_broadcast(again)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps of each class of near copies one row: of the smallest doc_id, and of its texts that with the smallest hash.
+
+    Rows are told apart by doc_id and text; of rows that agree in both one stays.
+    Rows without id and texts without a word are in no class and stay.
+    """
+    rows = cut(forest.jaccard_rows(docs).where("class_key is not null").groupBy("doc_id", "h", "class_key").count())
+    first = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    gone = rows.join(first, "class_key").where("struct(doc_id, h) <> first").select("doc_id", "h")
+    key, h = (next(n for n in (f"{name}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("key", "text_hash"))
+    hashed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+
+    def without(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(checked_broadcast(keys.select(F.col("doc_id").alias(key), F.col("h").alias(h))), [key, h], how)
+
+    kept = without(hashed, gone, "left_anti")
+    again = rows.where("count > 1").select("doc_id", "h")
+    if not again.isEmpty():
+        kept = without(kept, again, "left_anti").unionByName(without(kept, again, "left_semi").dropDuplicates([key, h]))
     return kept.select(*docs.columns)
 
 
