@@ -211,16 +211,24 @@ def long_column(values: np.ndarray) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one below /tmp only where none is named."""
+    """The folder named in spark.checkpoint.dir; in local mode, where all share one disk, else one below /tmp."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = "/tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote into the shared folder for itself."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a checkpoint in the shared folder: survives lost executors."""
     shared_dir(df.sparkSession)

@@ -1,4 +1,8 @@
-"""Connected components by contraction, on DataFrames."""
+"""Connected components by contraction, on DataFrames.
+
+Defined results: edges with a null end and edges of a node to itself are left out,
+repeated edges count once, and without edges there are no nodes.
+"""
 
 from __future__ import annotations
 

@@ -116,10 +116,15 @@ def quality_rules(documents: DataFrame, trusted_ids: DataFrame, p: LlrParams = L
     """Base counts, log-likelihood ratio and verdict of every document.
 
     ``trusted_ids`` (doc_id) names the trusted documents; it is broadcast only
-    when its counted rows allow that. Documents are read twice and shuffled at
-    most once (never when the id list is small).
+    when its counted rows allow that, and then both distributions are counted in
+    one pass. Otherwise the raw one is counted without a join, and the target one
+    over the trusted documents alone, so that no other text is joined.
     """
     docs = C.texts(documents)
-    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    counts = count_grams(docs.join(C.checked_broadcast(ids), "doc_id", "left"), p)
+    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    if ids.count() <= C.BROADCAST_ROWS:
+        counts = count_grams(docs.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left"), p)
+    else:
+        counts = count_grams(docs.withColumn("trusted", F.lit(False)), p)
+        counts[0] = count_grams(docs.join(ids, "doc_id").withColumn("trusted", F.lit(True)), p)[0]
     return score_rules(docs, log_ratio(counts, p), p)
