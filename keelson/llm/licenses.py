@@ -1,11 +1,14 @@
 """Licence scans by ordered signature rules.
 
-Each rule is a regular expression over the lower-cased text, gated by keywords:
-it runs only on texts that hold all of its keywords as words. Texts without any
-of a few strings, one of which every match of the default rules holds, are never
-searched. Detections are resolved in rule order: one whose interval lies
-inside that of a detection of higher priority (or of equal priority and at least
-its length) is suppressed.
+Each rule is a hand-written regular expression over the lower-cased text
+(``signatures``), in order of priority. It is gated by keywords that are derived
+from its pattern: sets of pieces of text of each of which every match must hold
+one, so the gate never loses a detection. One automaton finds the keywords of all
+rules in a block of texts, and a rule runs only on texts that hold what it needs.
+
+Detections are resolved in rule order: one whose interval lies inside that of an
+earlier rule's detection is suppressed. Earlier detections are kept sorted by
+their start with the largest end so far, so that containment is a bisection.
 
 Defined results: null and empty texts have no words, places or labels and score
 0. Repeated rows get equal results.
@@ -14,14 +17,18 @@ Defined results: null and empty texts have no words, places or labels and score
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser as sre_parser
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from keelson.llm import common as C
+from keelson.llm.signatures import GROUPS
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = (
@@ -34,80 +41,61 @@ PHRASES = (
 #: Lower-case words: all but 00-2F, 3A-60 and 7B-7F (after A-Z became a-z).
 MEMBER = np.ones(256, bool)
 MEMBER[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
+#: ASCII letters (lower-case) and digits.
+MEMBER_ASCII = MEMBER.copy()
+MEMBER_ASCII[0x80:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Licence names: SPDX-like id, name as a pattern, words that must be there.
-NAMES = (
-    ("agpl", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e", "affero general public"),
-    ("lgpl", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public\s+licen[sc]e", "general public"),
-    ("gpl", r"gnu\s+general\s+public\s+licen[sc]e", "gnu general public"),
-    ("gfdl", r"gnu\s+free\s+documentation\s+licen[sc]e", "gnu free documentation"),
-    ("apache", r"apache\s+(?:software\s+)?licen[sc]e", "apache"),
-    ("mit", r"(?:the\s+)?(?:mit|expat)\s+licen[sc]e", "mit"),
-    ("x11", r"x11\s+licen[sc]e", "x11"),
-    ("bsd-2-clause", r"(?:2-clause|two-clause|simplified)\s+bsd\s+licen[sc]e", "bsd"),
-    ("bsd-3-clause", r"(?:3-clause|three-clause|new|revised)\s+bsd\s+licen[sc]e", "bsd"),
-    ("bsd", r"(?:the\s+)?bsd\s+licen[sc]e", "bsd"),
-    ("isc", r"isc\s+licen[sc]e", "isc"),
-    ("mpl", r"mozilla\s+public\s+licen[sc]e", "mozilla public"),
-    ("epl", r"eclipse\s+public\s+licen[sc]e", "eclipse public"),
-    ("edl", r"eclipse\s+distribution\s+licen[sc]e", "eclipse distribution"),
-    ("eupl", r"european\s+union\s+public\s+licen[sc]e", "european union public"),
-    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[sc]e", "common development distribution"),
-    ("cpl", r"common\s+public\s+licen[sc]e", "common public"),
-    ("ms-pl", r"microsoft\s+public\s+licen[sc]e", "microsoft public"),
-    ("ms-rl", r"microsoft\s+reciprocal\s+licen[sc]e", "microsoft reciprocal"),
-    ("artistic", r"artistic\s+licen[sc]e", "artistic"),
-    ("zlib", r"zlib(?:/libpng)?\s+licen[sc]e", "zlib"),
-    ("bsl", r"boost\s+software\s+licen[sc]e", "boost software"),
-    ("busl", r"business\s+source\s+licen[sc]e", "business source"),
-    ("sspl", r"server\s+side\s+public\s+licen[sc]e", "server side public"),
-    ("openssl", r"openssl\s+licen[sc]e", "openssl"),
-    ("ofl", r"(?:sil\s+)?open\s+font\s+licen[sc]e", "open font"),
-    ("odbl", r"open\s+(?:data(?:base)?)(?:\s+commons\s+open\s+database)?\s+licen[sc]e", "open"),
-    ("psf", r"python\s+software\s+foundation\s+licen[sc]e", "python software foundation"),
-    ("php", r"php\s+licen[sc]e", "php"),
-    ("ruby", r"ruby\s+licen[sc]e", "ruby"),
-    ("postgresql", r"postgresql\s+licen[sc]e", "postgresql"),
-    ("unlicense", r"(?:the\s+)?unlicense", ""),
-    ("wtfpl", r"do\s+what\s+the\s+\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", "what public"),
-    ("cecill", r"cecill(?:-[bc])?(?:\s+(?:free\s+software\s+)?licen[sc]e)?", ""),
-    ("afl", r"academic\s+free\s+licen[sc]e", "academic free"),
-    ("osl", r"open\s+software\s+licen[sc]e", "open software"),
-    ("ecl", r"educational\s+community\s+licen[sc]e", "educational community"),
-    ("ncsa", r"(?:university\s+of\s+illinois/)?ncsa(?:\s+open\s+source)?\s+licen[sc]e", "ncsa"),
-    ("vim", r"vim\s+licen[sc]e", "vim"),
-    ("cc0", r"(?:creative\s+commons\s+zero|cc0)(?:\s+1\.0)?(?:\s+universal)?", ""),
-    ("cc-by-nc-nd", r"cc[\s-]by[\s-]nc[\s-]nd|creative\s+commons\s+attribution[\s-]noncommercial[\s-]noderiv\w*", ""),
-    ("cc-by-nc-sa", r"cc[\s-]by[\s-]nc[\s-]sa|creative\s+commons\s+attribution[\s-]noncommercial[\s-]sharealike", ""),
-    ("cc-by-nc", r"cc[\s-]by[\s-]nc|creative\s+commons\s+attribution[\s-]noncommercial", ""),
-    ("cc-by-nd", r"cc[\s-]by[\s-]nd|creative\s+commons\s+attribution[\s-]noderiv\w*", ""),
-    ("cc-by-sa", r"cc[\s-]by[\s-]sa|creative\s+commons\s+attribution[\s-]sharealike", ""),
-    ("cc-by", r"cc[\s-]by|creative\s+commons\s+attribution", ""),
-)
-#: Forms in which a name stands, with the label's suffix, the score and words that must be there.
-FORMS = (
-    (r"(?:licen[sc]ed|released|distributed|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{name})(?:\s*,?\s*v(?:ersion)?\.?\s*[0-9][0-9.]*)?", 1.0, "under"),
-    (r"(?:{name})\s*,?\s*v(?:ersion\s+|\.?\s*)[0-9](?:\.[0-9]+)*(?:\s+or\s+(?:any\s+)?later)?", 0.9, ""),
-    (r"(?:copyright|\(c\)|©)[^\n]{{0,80}}(?:{name})", 0.8, ""),
-    (r"see\s+(?:the\s+)?(?:{name})\s+for\s+(?:more\s+)?details", 0.8, "see details"),
-    (r"(?:{name})", 0.6, ""),
-)
-#: Signatures that are not a name in a form: label, pattern, score, words that must be there.
-OTHERS = (
-    ("spdx", r"spdx-license-identifier:\s*[\w.+-]+", 1.0, "spdx"),
-    ("mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge", 1.0, "permission hereby granted"),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute", 1.0, "permission distribute"),
-    ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 1.0, "redistribution binary"),
-    ("zlib", r"this\s+software\s+is\s+provided\s+'as-is'", 0.8, "software provided"),
-    ("public-domain", r"(?:dedicated\s+to|released\s+into|in)\s+the\s+public\s+domain", 0.9, "public domain"),
-    ("proprietary", r"all\s+rights\s+reserved", 0.7, "all rights reserved"),
-    ("proprietary", r"(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)", 0.9, "proprietary confidential"),
-    ("gpl", r"gplv?[0-9](?:\.[0-9]+)?\+?", 0.7, ""),
-    ("lgpl", r"lgplv?[0-9](?:\.[0-9]+)?\+?", 0.7, ""),
-    ("agpl", r"agplv?[0-9](?:\.[0-9]+)?\+?", 0.7, ""),
-)
+#: Sets of keywords that a rule is gated by at most.
+GATES = 3
+#: A piece of text, and whether no ASCII letter or digit stands before it.
+Keyword = tuple[str, bool]
+
+
+def keywords(pattern: str) -> tuple[frozenset[Keyword], ...]:
+    """Sets of pieces of text; every match of the pattern holds a piece of each set.
+
+    A sequence needs the literals that stand in a row in it, and what its parts
+    need that cannot be left out; an alternative needs a piece of each of its
+    branches. The sets with the longest pieces are taken. A piece that begins the
+    pattern, behind a look-behind for letters, is the beginning of a word.
+    """
+
+    def weight(pieces: frozenset[Keyword]) -> tuple:
+        return min((len(w) + 2 * begins for w, begins in pieces), default=0), -len(pieces), sorted(pieces)
+
+    def needed(parsed: Iterable, first: bool) -> list[frozenset[Keyword]]:
+        found: list[frozenset[Keyword]] = []
+        run, begins = "", False
+        for op, arg in [*parsed, (None, None)]:
+            if op is sre.LITERAL:
+                if not run:
+                    begins = first
+                run, first = run + chr(arg), False
+                continue
+            if run:
+                found.append(frozenset({(run, begins)}))
+                run = ""
+            if op is sre.SUBPATTERN:
+                found += needed(arg[3], first)
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0]:
+                found += needed(arg[2], first)
+            elif op is sre.ATOMIC_GROUP:
+                found += needed(arg, first)
+            elif op is sre.BRANCH:
+                branches = [max(needed(b, first), key=weight, default=frozenset()) for b in arg[1]]
+                found.append(frozenset().union(*branches) if all(branches) else frozenset())
+            first = first and op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT)
+        return [f for f in found if f]
+
+    parsed = sre_parser.parse(pattern)
+    every = sorted(needed(parsed, pattern.startswith(_BEGIN)), key=weight, reverse=True)
+    return tuple(dict.fromkeys(f for k, f in enumerate(every) if k == 0 or weight(f)[0] > 2))[:GATES]
+
+
+#: Look-arounds that keep matches from beginning or ending inside a word.
+_BEGIN, _END = r"(?<![^\W_])", r"(?![^\W_])"
 
 
 @dataclass(frozen=True)
@@ -115,44 +103,89 @@ class Rule:
     label: str
     pattern: re.Pattern
     score: float
-    keywords: frozenset[str]
-
-
-def default_rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: every form of every name, then the other signatures."""
-
-    def rule(label: str, pattern: str, score: float, words: str) -> Rule:
-        return Rule(label, re.compile(rf"(?<![^\W_])(?:{pattern})(?![^\W_])"), score, frozenset(words.split()))
-
-    named = [rule(label, form.format(name=name), score, f"{words} {more}") for form, score, more in FORMS for label, name, words in NAMES]
-    return tuple(named + [rule(*x) for x in OTHERS])
-
-
-#: A text is looked at only if it has one of these anywhere; each match of the default rules holds one.
-GATES = (
-    *("license", "licence", "unlicense", "spdx", "permission", "redistribution", "public", "rights", "proprietary", "software"),
-    *("cecill", "cc", "cc0", "creative", "gpl", "lgpl", "agpl"),
-    *(f"{kind}{v}{n}" for kind in ("gpl", "lgpl", "agpl") for v in ("", "v") for n in range(10)),
-)
-#: Those that hold no other one; "cc", which many words have, only as a word.
-_PARTS = tuple(g.encode() for g in GATES if g != "cc" and not any(o != g and o != "cc" and o in g for o in GATES))
-_CC = re.compile(rb"cc(?<![0-9a-z]cc)(?![0-9a-z])")
+    #: One of each set is in every match; without any the rule runs on every text.
+    keywords: tuple[frozenset[Keyword], ...]
 
 
-def gated(text: bytes) -> bool:
-    """Whether a default rule may match the lower-case ``text``."""
-    return any(p in text for p in _PARTS) or _CC.search(text) is not None
+def rule(label: str, pattern: str, score: float) -> Rule:
+    """A rule whose matches neither begin nor end inside a word."""
+    spaced = pattern.replace(" ", r"\s+").replace(r"\s+*", r"\s*").replace(r"\s+?", r"\s*")
+    whole = f"{_BEGIN}(?:{spaced}){_END}"
+    return Rule(label, re.compile(whole), score, keywords(whole))
 
 
-def detect(text: str, words: frozenset[str] | set[str], rules: tuple[Rule, ...]) -> list[tuple[int, int, str, float]]:
-    """Surviving (start, end, label, score) of lower-case ``text``, in order of place."""
+def default_rules() -> tuple[Rule, ...]:
+    """All rules in order of priority."""
+    return tuple(rule(label, pattern, score) for group, score in GROUPS for label, pattern in group)
+
+
+class Gate:
+    """Which rules may match which texts of a block of UTF-8 bytes."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.always = frozenset(i for i, r in enumerate(rules) if not r.keywords)
+        words = sorted({w for r in rules for s in r.keywords for w, _ in s})
+        place = {w: k for k, w in enumerate(words)}
+        # what a rule needs, as numbers of words; twice the number plus one: as the beginning of a word
+        self.needs = [[{2 * place[w] + begins for w, begins in s} for s in r.keywords] for r in rules]
+        self.rules_of: dict[int, set[int]] = {}
+        for i, sets in enumerate(self.needs):
+            for k in sets[0] if sets else ():
+                self.rules_of.setdefault(k, set()).add(i)
+        self.automaton = ahocorasick.Automaton() if words else None
+        for w, k in place.items():
+            # one character a byte, as in the texts below
+            self.automaton.add_word(w.encode().decode("latin-1"), (k, len(w.encode())))
+        if words:
+            self.automaton.make_automaton()
+
+    def open(self, raw: bytes, offs: np.ndarray) -> dict[int, set[int]]:
+        """Numbers of rules by text; texts without any are left out. Bytes are lower-case."""
+        out: dict[int, set[int]] = {d: set(self.always) for d in range(len(offs) - 1)} if self.always else {}
+        hits = np.array([(end, k, n) for end, (k, n) in self.automaton.iter(raw.decode("latin-1"))], np.int64).reshape(-1, 3) if self.automaton else np.zeros((0, 3), np.int64)
+        if len(hits):
+            start = hits[:, 0] - hits[:, 2] + 1
+            doc = np.searchsorted(offs, hits[:, 0], side="right") - 1
+            before = np.frombuffer(raw, np.uint8)[np.maximum(start - 1, 0)]
+            begins = (start == offs[doc]) | ~MEMBER_ASCII[before]
+            word = 2 * hits[:, 1]
+            seen = np.concatenate((np.column_stack((doc, word)), np.column_stack((doc, word + 1))[begins]))
+            inside = np.concatenate((start >= offs[doc], (start >= offs[doc])[begins]))  # words across two texts do not count
+            seen = np.unique(seen[inside], axis=0)
+            for d, part in zip(*self._by_text(seen), strict=True):
+                have = set(part)
+                live = {i for k in part for i in self.rules_of.get(k, ()) if all(not have.isdisjoint(s) for s in self.needs[i])}
+                if live:
+                    out.setdefault(d, set()).update(live)
+        return out
+
+    @staticmethod
+    def _by_text(seen: np.ndarray) -> tuple[list[int], list[list[int]]]:
+        docs, first = np.unique(seen[:, 0], return_index=True)
+        return docs.tolist(), [x.tolist() for x in np.split(seen[:, 1], first[1:])]
+
+
+def detect(text: str, rules: tuple[Rule, ...], open_rules: Iterable[int] | None = None) -> list[tuple[int, int, str, float]]:
+    """Surviving (start, end, label, score) of lower-case ``text``, in order of place.
+
+    ``open_rules`` are the rules that the gate let through (default: all). Matches
+    of one rule never lie inside each other, so they are compared with those of
+    earlier rules all at once.
+    """
     found: list[tuple[int, int, str, float]] = []
-    for rule in rules:
-        if rule.keywords <= words:
-            for m in rule.pattern.finditer(text):
-                s, e = m.span()
-                if s < e and not any(a <= s and e <= b for a, b, _, _ in found):
-                    found.append((s, e, rule.label, rule.score))
+    starts, ends, most = (np.zeros(0, np.int64) for _ in range(3))
+    for i in sorted(open_rules) if open_rules is not None else range(len(rules)):
+        spans = np.array([m.span() for m in rules[i].pattern.finditer(text)], np.int64).reshape(-1, 2)
+        spans = spans[spans[:, 0] < spans[:, 1]]
+        before = np.searchsorted(starts, spans[:, 0], side="right") - 1
+        free = (before < 0) | (most[before] < spans[:, 1]) if len(starts) else np.ones(len(spans), bool)
+        spans = spans[free]
+        if len(spans):
+            found += [(s, e, rules[i].label, rules[i].score) for s, e in spans.tolist()]
+            starts, ends = np.concatenate((starts, spans[:, 0])), np.concatenate((ends, spans[:, 1]))
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], ends[order]
+            most = np.maximum.accumulate(ends)
     return sorted(found)
 
 
@@ -169,7 +202,8 @@ def scan_licenses(documents: DataFrame, rules: tuple[Rule, ...] | None = None, s
     words_of = [p.split() for p, _ in PHRASES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = own or default_rules()
+        rules = own if own is not None else default_rules()
+        gate = Gate(rules)
         phrases = [[np.uint64(C.word_hash(w)) for w in p] for p in words_of]
         for batch, buf, offs in C.slices(batches):
             n = batch.num_rows
@@ -194,13 +228,8 @@ def scan_licenses(documents: DataFrame, rules: tuple[Rule, ...] | None = None, s
             np.maximum.at(last, where, at - runs[where])
             score, labels, found = np.zeros(n), [], [[] for _ in range(n)]
             raw = low.tobytes()
-            for d in range(n):
-                part = raw[offs[d] : offs[d + 1]]
-                if own is None and not gated(part):
-                    continue
-                text = part.decode("utf-8", "replace")
-                # ASCII parts count as keywords; "mit-style" has mit and style
-                found[d] = detect(text, set(re.findall(r"[0-9a-z]+", text)), rules)
+            for d, live in gate.open(raw, offs).items():
+                found[d] = detect(raw[offs[d] : offs[d + 1]].decode("utf-8", "replace"), rules, live)
             for d in range(n):
                 labels.append(",".join(sorted(labels_all[d] | {x[2] for x in found[d]})))
                 score[d] = max([0.5 * (n_base[d] > 0), *(x[3] for x in found[d])])
