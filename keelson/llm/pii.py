@@ -3,13 +3,22 @@
 Detected entities (mail, phone, card, IP, national number, bank account, secret,
 person after a title) are replaced by keyed surrogates of the same kind and
 format: digits by digits, letters by letters of the same case and script, cards
-and accounts with right check digits, persons by names of the title's gender and
-the name's script. One entity, however it is written, has one surrogate in the
-whole corpus. A collision check over the distinct entities redraws a surrogate
-that another entity also drew or that is itself an entity of the corpus, until
-none is left; persons are compared as they are written, without the gender. Tasks
-compute first draws themselves; only redrawn entities travel, and names after a
-neutral title that stand for the one person of known gender with this name.
+and accounts with right check digits, given names by names with an ending of the
+title's gender, all names in the script of the original. An entity is made of
+parts that have surrogates of their own: a mail address of its domain and of the
+name in it, a person of given and family names. So all addresses of a domain keep
+one domain, and a person is the same with any title of one gender, with the family
+name alone, and - in a text where a title tells that it is a name - without title.
+A given name after a neutral title has the gender that this name has elsewhere in
+the text or else in the corpus, if that is one alone.
+
+One part, however it is written, has one surrogate in the whole corpus. A collision
+check over the distinct parts redraws a surrogate that another part also drew or
+that is itself a part in the corpus, until none is left; given and family names
+must not meet either. Lengths are those of the originals, unless eight draws
+failed: then each eight draws make the form longer by one, so that the redraws end
+where a form has no free value left. Tasks compute first draws themselves; only
+parts that are redrawn or that stand for another travel.
 
 Defined results: a null text stays null and an empty one empty, with no
 entities. Equal texts get equal results.
@@ -37,11 +46,13 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа", "Госпожа", "Κυρία"),
     "n": ("Mx", "Dr", "Prof"),
 }
-#: Given names by script and gender ("n": any).
-GIVEN = {
-    "latin": {"m": ("Adrian", "Bruno", "Carl", "Dario", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marco", "Nils", "Oscar", "Paul", "Rafael", "Simon"), "f": ("Alma", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Hanna", "Ines", "Julia", "Laura", "Marta", "Nora", "Olga", "Petra", "Sonia")},
-    "cyrillic": {"m": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Павел"), "f": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга")},
-    "greek": {"m": ("Άγγελος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"), "f": ("Άννα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία")},
+#: Titles that stand before a given name.
+GIVEN_TITLES = ("Don", "Doña")
+#: Endings of surrogate given names by script and gender ("n": told by no title).
+ENDINGS = {
+    "latin": {"m": ("o", "us", "an", "el", "or", "ik", "ard", "en"), "f": ("a", "ia", "ina", "elle", "is", "ette", "ane", "ora"), "n": ("i", "e", "y", "ey")},
+    "cyrillic": {"m": ("ан", "ин", "ор", "ий", "ей", "ил", "ет", "ас"), "f": ("а", "я", "ия", "ина", "ела", "ора", "ика", "ета"), "n": ("и", "е", "у", "о")},
+    "greek": {"m": ("ος", "ας", "ης", "ων", "ιος", "ικος"), "f": ("α", "η", "ια", "ω", "ινα", "ουλα"), "n": ("ι", "υ", "ε", "ου")},
 }
 #: Syllables of which surrogate family names are made.
 SYLLABLES = {
@@ -49,9 +60,10 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до ва ви га го ка ке ла ле ло ма ме ми на не но па пе ра ре ро са се та те то за".split(),
     "greek": "βα βε βο δα δε δο φα φι γα γο κα κε λα λε λο μα με μι να νε νο πα πε ρα ρε ρο σα σε τα τε το ζα".split(),
 }
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’-]+"
-#: Two neighbouring words that may be a full name.
-_FULL = re.compile(rf"(?<!\w){_NAME}(?= ({_NAME}))")
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][\w'’-]+"
+_WORD = re.compile(rf"(?<!\w){_NAME}")
+#: What a name may end in that is not part of it: genitives and dashes.
+_TAIL = re.compile(r"(?:['’]\w{0,2}|[-'’]+)$")
 _TITLE = "|".join(re.escape(t) for g in TITLES.values() for t in g)
 
 #: The part of a mail address from the @ on, and the part before it, read backwards.
@@ -65,7 +77,7 @@ PATTERNS = (
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11})(?!\w)")),
-    ("person", re.compile(rf"(?<!\w)({_TITLE})\.? ({_NAME}(?: {_NAME})?)")),
+    ("person", re.compile(rf"(?<!\w)({_TITLE})\.? ({_NAME}(?: {_NAME}){{0,2}})")),
 )
 
 #: What secrets that need not be hex begin with, and titles as they stand before a name.
@@ -101,25 +113,35 @@ def mails(text: str) -> Iterator[tuple[int, int]]:
             yield m.start() - local.end(), end
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of entities that do not overlap, by place.
+Part = tuple[int, int, str, str]
 
-    Of overlapping candidates the one whose kind comes first stays: mail addresses,
-    then in the order of PATTERNS.
-    A person's canonical form has gender, script and name, so that any title of
-    one gender refers to the same person. A full name that has a title somewhere
-    in the text is the same person where it has none.
+
+def entities(text: str) -> list[tuple[int, int, str, list[Part]]]:
+    """(start, end, kind, parts) of entities that do not overlap, by place.
+
+    Parts are (start, end, kind, canonical form). Of overlapping candidates the
+    one whose kind comes first stays: mail addresses, then in the order of
+    PATTERNS. Canonical forms of given names have gender, script and name, those of
+    family names script and name.
     """
-    found = [(s, e, "email", text[s:e].lower()) for s, e in mails(text)]
+    found: list[tuple[int, int, str, list[Part]]] = []
+    for s, e in mails(text):
+        at = text.index("@", s)
+        domain = text[at + 1 : e].lower()
+        found.append((s, e, "email", [(s, at, "local", f"{text[s:at].lower()}@{domain}"), (at + 1, e, "domain", domain)]))
 
-    def place(s: int, e: int, kind: str, canon: str) -> None:
+    def place(s: int, e: int, kind: str, parts: list[Part]) -> None:
         i = bisect_left(found, (s,))
         if (i == 0 or found[i - 1][1] <= s) and (i == len(found) or found[i][0] >= e):
-            found.insert(i, (s, e, kind, canon))
+            found.insert(i, (s, e, kind, parts))
 
+    titled = []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
-            s, e = m.span(2) if kind == "person" else m.span()
+            if kind == "person":
+                titled.append(m)
+                continue
+            s, e = m.span()
             value = text[s:e]
             bare = re.sub(r"\D", "", value)
             if kind == "card":
@@ -138,27 +160,66 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if value.isdigit():
                     continue
                 canon = value
-            elif kind == "person":
-                gender = next(g for g, t in TITLES.items() if m[1] in t)
-                canon = f"{gender}/{script(value)}/{value}"
             else:
                 canon = value if kind == "ip" else bare
-            place(s, e, kind, canon)
-    full: dict[str, str] = {}
-    for canon in sorted({c for _, _, k, c in found if k == "person" and " " in c}):  # a known gender before none
-        full.setdefault(written(canon), canon)
-    for m in _FULL.finditer(text) if full else ():
-        for last in (m[1], re.sub(r"(?:['’]\w*|-+)$", "", m[1])):
-            name = f"{m[0]} {last}"
-            if name in full:
-                place(m.start(), m.start() + len(name), "person", full[name])
-                break
+            place(s, e, kind, [(s, e, kind, canon)])
+    if titled:
+        for s, e, parts in persons(text, titled):
+            place(s, e, "person", parts)
     return found
 
 
-def written(person: str) -> str:
-    """The name alone of a person's canonical form."""
-    return person.split("/", 2)[2]
+def _name(m: re.Match, base: int = 0) -> tuple[int, int, str]:
+    """Start, end and common form of a name without what it may end in."""
+    core = _TAIL.sub("", m[0]) or m[0]
+    return base + m.start(), base + m.start() + len(core), core.capitalize()
+
+
+def persons(text: str, titled: list[re.Match]) -> Iterator[tuple[int, int, list[Part]]]:
+    """Persons after titles, and the same names wherever they stand in the text."""
+    mentions = []
+    genders: dict[str, set[str]] = {}
+    families: set[str] = set()
+    for m in titled:
+        gender = next(g for g, t in TITLES.items() if m[1] in t)
+        names = [_name(w, m.start(2)) for w in _WORD.finditer(m[2])]
+        mentions.append((gender, names, m[1] in GIVEN_TITLES))
+        if len(names) > 1:
+            families.add(names[-1][2])
+        for _, _, name in names[:-1] if len(names) > 1 else names if m[1] in GIVEN_TITLES else ():
+            genders.setdefault(name, set()).add(gender)
+
+    def given(s: int, e: int, name: str, gender: str = "n") -> Part:
+        known = genders.get(name, set()) - {"n"}
+        gender = next(iter(known)) if gender == "n" and len(known) == 1 else gender
+        return s, e, "given", f"{gender}/{script(name)}/{name}"
+
+    def family(s: int, e: int, name: str) -> Part:
+        return s, e, "family", f"{script(name)}/{name}"
+
+    out = []
+    for gender, names, before_given in mentions:
+        if len(names) > 1:
+            parts = [*(given(*n, gender) for n in names[:-1]), family(*names[-1])]
+        elif before_given or (names[0][2] in genders and names[0][2] not in families):
+            parts = [given(*names[0], gender)]
+        else:
+            parts = [family(*names[0])]
+            families.add(names[0][2])
+        out.append((parts[0][0], parts[-1][1], parts))
+    yield from out
+    run: list[tuple[int, int, str]] = []
+    for w in [*_WORD.finditer(text), None]:  # names that stand without a title
+        name = _name(w) if w else None
+        if name and name[2] not in genders and name[2] not in families:
+            name = None
+        if run and not (name and name[0] == run[-1][1] + 1 and text[run[-1][1]] == " "):
+            last = len(run) - 1
+            parts = [family(*n) if n[2] in families and (k == last or n[2] not in genders) else given(*n) for k, n in enumerate(run)]
+            yield run[0][0], run[-1][1], parts
+            run = []
+        if name:
+            run.append(name)
 
 
 class Stream:
@@ -192,68 +253,76 @@ def _letters(value: str, draw: Stream) -> str:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    """Canonical form of the entity's replacement; other attempts give other draws."""
-    draw = Stream(key, kind, canon, str(attempt))
-    if kind == "email":
-        local, _, domain = canon.partition("@")
-        host, dot, top = domain.rpartition(".")
-        return f"{_letters(local, draw)}@{_letters(host, draw)}{dot}{top}"
+    """Canonical form of the part's replacement; other attempts give other draws, each eight a longer one."""
+    draw, more = Stream(key, kind, canon, str(attempt)), attempt // 8
+
+    def digits(n: int) -> str:
+        return "".join(str(draw.below(10)) for _ in range(n))
+
+    if kind == "local":
+        return _letters(canon.partition("@")[0] + "a" * more, draw)
+    if kind == "domain":
+        host, dot, top = canon.rpartition(".")
+        return f"{_letters(host + 'a' * more, draw)}{dot}{top}"
     if kind == "card":
-        body = canon[0] + "".join(str(draw.below(10)) for _ in canon[2:])
+        body = canon[0] + digits(min(19, len(canon) + more) - 2)
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "iban":
-        body = _letters(canon[4:], draw)
+        body = _letters(canon[4:], draw) + digits(min(more, 34 - len(canon)))
         return f"{canon[:2]}{98 - iban_check(canon[:2] + '00' + body):02d}{body}"
     if kind == "ip":
+        if more:  # no free address of the short form was found
+            return "2001:db8:" + ":".join(f"{draw.below(65536):x}" for _ in range(6))
         return ".".join(str(x) for x in (1 + draw.below(223), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canon):
-            new = "".join("0123456789abcdef"[draw.below(16)] for _ in canon)
+            new = "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(canon) + more))
             return new.upper() if canon == canon.upper() else new
         head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|", canon)[0]
-        return head + _letters(canon[len(head) :], draw)
-    if kind == "person":
-        gender, alphabet, name = canon.split("/", 2)
-        pool = GIVEN[alphabet].get(gender) or GIVEN[alphabet]["m"] + GIVEN[alphabet]["f"]
-        family = "".join(SYLLABLES[alphabet][draw.below(32)] for _ in range(4 + attempt // 8)).capitalize()  # longer where names get scarce
-        return f"{gender}/{alphabet}/" + (f"{pool[draw.below(len(pool))]} {family}" if " " in name else family)
-    return canon[:1] * (kind == "phone" and len(canon) > 10) + "".join(str(draw.below(10)) for _ in canon[kind == "phone" and len(canon) > 10 :])
+        return head + _letters(canon[len(head) :] + "a" * more, draw)
+    if kind == "family":
+        return "".join(SYLLABLES[canon.split("/")[0]][draw.below(32)] for _ in range(4 + more)).capitalize()
+    if kind == "given":
+        gender, alphabet, _ = canon.split("/", 2)
+        ends = ENDINGS[alphabet][gender]
+        return ("".join(SYLLABLES[alphabet][draw.below(32)] for _ in range(2 + more)) + ends[draw.below(len(ends))]).capitalize()
+    start = canon[:1] * (kind == "phone" and len(canon) > 10)
+    return start + digits(len(canon) - len(start) + more)
 
 
 def rendered(kind: str, found: str, new: str) -> str:
-    """The replacement in the form in which the entity was written."""
-    if kind == "person":
-        return written(new)
+    """The replacement in the form in which the part was written."""
+    if kind in ("given", "family"):
+        return new.upper() if found.isupper() else new
     if kind in ("card", "ssn", "phone", "iban"):
-        digits = iter(new)
+        left = list(new)
         skip = sum(c.isalnum() for c in found) - len(new)  # a country code that is not part of the canonical form
         out = []
         for c in found:
-            if not c.isalnum():
-                out.append(c)
-            elif skip > 0:
+            if c.isalnum() and skip > 0:
                 skip -= 1
                 out.append(c)
             else:
-                out.append(next(digits))
-        return "".join(out)
-    if kind == "email" and found != found.lower():
+                out.append(left.pop(0) if c.isalnum() else c)
+        return "".join(out + left)
+    if kind in ("local", "domain") and found != found.lower():
         return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new, strict=True)) if len(found) == len(new) else new
     return new
 
 
-def replace(text: str, key: bytes, changes: dict[tuple[str, str], tuple[str, int]], cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with surrogates, and what was replaced; ``changes`` has (canonical form, attempt) of entities that do not have the first draw of their own."""
+def replace(text: str, key: bytes, changes: dict[tuple[str, str], tuple[str, int]], cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, list[Part]]]]:
+    """The text with surrogates, and what was replaced; ``changes`` has (canonical form, attempt) of parts that do not have the first draw of their own."""
     found, out, at = entities(text), [], 0
-    for s, e, kind, canon in found:
-        tried = (kind, *changes.get((kind, canon), (canon, 0)))
-        new = cache.get(tried) if cache is not None else None
-        if new is None:
-            new = surrogate(key, *tried)
-            if cache is not None and len(cache) < 100_000:
-                cache[tried] = new
-        out += [text[at:s], rendered(kind, text[s:e], new)]
-        at = e
+    for _, _, _, parts in found:
+        for s, e, kind, canon in parts:
+            tried = (kind, *changes.get((kind, canon), (canon, 0)))
+            new = cache.get(tried) if cache is not None else None
+            if new is None:
+                new = surrogate(key, *tried)
+                if cache is not None and len(cache) < 100_000:
+                    cache[tried] = new
+            out += [text[at:s], rendered(kind, text[s:e], new)]
+            at = e
     return "".join(out) + text[at:], found
 
 
@@ -301,57 +370,60 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, canon): the distinct entities of every whole text."""
+    """(doc_id, kind, canon): the distinct parts of entities of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text, at in _each(batches):
             ids = batch.column(0).to_pylist()
-            rows = [(ids[i], *x) for i in at for x in sorted({(k, c) for _, _, k, c in entities(text[i] or "")})]
+            rows = [(ids[i], *x) for i in at for x in sorted({(k, c) for found in entities(text[i] or "") for _, _, k, c in found[3]})]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "kind", "canon"])
 
     return docs.mapInArrow(run, "doc_id long, kind string, canon string")
 
 
-def _written(kind: str, canon: str) -> Column:
-    """What two entities must not have in common: the canonical form, of persons the name."""
-    return F.when(F.col(kind) == "person", F.regexp_replace(canon, "^[^/]*/[^/]*/", "")).otherwise(F.col(canon))
+#: Kinds of parts that are compared with each other.
+_NAMES = ("given", "family")
+
+
+def _group(kind: str) -> Column:
+    return F.when(F.col(kind).isin(*_NAMES), "name").otherwise(F.col(kind))
 
 
 def same_persons(known: DataFrame) -> DataFrame:
-    """(kind, canon, entity) of persons without gender whose name one gender alone has, and that person."""
+    """(kind, canon, entity) of given names without gender that one gender alone has, and the name of this gender."""
     neutral = F.col("canon").startswith("n/")
-    names = known.where("kind = 'person'").groupBy("kind", _written("kind", "canon").alias("name"))
+    names = known.where("kind = 'given'").groupBy("kind", F.substring_index("canon", "/", -2).alias("name"))
     names = names.agg(F.min(F.when(neutral, F.col("canon"))).alias("canon"), F.min(F.when(~neutral, F.col("canon"))).alias("entity"), F.max(F.when(~neutral, F.col("canon"))).alias("other"))
     return names.where("canon is not null and entity = other").select("kind", "canon", "entity")
 
 
 def redraws(known: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, attempt) of entities whose first surrogate collides.
+    """(kind, canon, attempt) of parts whose first surrogate collides.
 
-    ``known`` (kind, canon) has each entity once. A draw stands if no entity has
-    this form, no earlier winner has it, and among equal draws the smallest
-    entity drew it; the others draw again until no loser is left. Forms are
-    compared as they are written.
+    ``known`` (kind, canon) has each part once. A draw stands if nothing in the
+    corpus has this form, no earlier winner has it, and among equal draws the
+    smallest part drew it; the others draw again until no loser is left. Names are
+    compared as they are written, names in mail addresses inside their domain.
     """
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                new = [surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                new = [surrogate(key, k, c, attempt) + ("@" + c.partition("@")[2] if k == "local" else "") for k, c in rows]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "canon", "value"])
 
-        return df.select("kind", "canon").mapInArrow(run, "kind string, canon string, value string").withColumn("value", _written("kind", "value")).withColumn("attempt", F.lit(attempt))
+        return df.select("kind", "canon").mapInArrow(run, "kind string, canon string, value string").withColumn("grp", _group("kind"))
 
-    names = known.select("kind", _written("kind", "canon").alias("value"))
+    taken = known.select(_group("kind").alias("grp"), F.when(F.col("kind").isin(*_NAMES), F.substring_index("canon", "/", -1)).otherwise(F.col("canon")).alias("value"))
     pending, won, attempt = known, None, 0
     while True:
-        draws = drawn(pending, attempt)
-        free = draws.join(names, ["kind", "value"], "left_anti")
+        free = drawn(pending, attempt).join(taken, ["grp", "value"], "left_anti")
         if won is not None:
-            free = free.join(won.select("kind", "value"), ["kind", "value"], "left_anti")
-        best = free.groupBy("kind", "value").agg(F.min("canon").alias("canon")).withColumn("attempt", F.lit(attempt))
-        best = C.cut(best)
+            free = free.join(won.select("grp", "value"), ["grp", "value"], "left_anti")
+        best = free.groupBy("grp", "value").agg(F.min(F.struct("kind", "canon")).alias("first"))
+        best = C.cut(best.select("grp", "value", "first.kind", "first.canon", F.lit(attempt).alias("attempt")))
         won = best if won is None else won.unionByName(best)
         pending = C.cut(pending.join(best.select("kind", "canon"), ["kind", "canon"], "left_anti"))
         attempt += 1
