@@ -1,12 +1,13 @@
 """Byte-level BPE by merge replay.
 
-The distinct pieces of a block of documents form a small corpus. An inverted
-index maps every mergeable token pair (by the rank of the token it makes) to the
-positions where it stands; merges are applied in rank order from a heap, and a
-merge touches only its two neighbours. What a task has encoded once it keeps in
-a bounded memo, so each distinct piece is normally merged once a task. No row is
-shuffled: blocks are cut inside scan partitions, so memory depends on the block
-size and the memo bound alone.
+The distinct pieces of a block of documents that are not known yet form a corpus.
+An inverted index maps every token pair that can be merged to the positions where
+it stands; pairs wait in a heap by the rank of the token that they make, merges
+are applied in rank order, and a merge touches only its two neighbours. What a
+task has encoded once it keeps in a memo that is bounded in pieces and bytes, so
+each distinct piece is normally merged once a task. No row is shuffled: blocks are
+cut inside scan partitions, so memory depends on the block size and the memo
+bound alone.
 
 Defined results: null and empty texts have no ids, and decode to no bytes.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from keelson.llm import common as C
 
-#: Entries after which a task forgets the pieces that it has encoded.
+#: Entries, and bytes of pieces, after which a task forgets the pieces that it has encoded.
 MEMO_PIECES = 400_000
+MEMO_BYTES = 32 << 20
 
 
 def parse_ranks(raw: bytes) -> list[bytes]:
@@ -60,17 +62,23 @@ class MergeReplay:
         order = np.argsort(first, kind="stable")
         order = order[np.searchsorted(first[order], 0) :]
         ranks, at = np.unique(first[order], return_index=True)
-        places: dict[int, list[int]] = {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(order, at[1:]), strict=True)} if len(order) else {}
+        pairs = (start[:-1][order[at]] << 32 | start[1:][order[at]]).tolist() if len(order) else []
+        places: dict[int, list[int]] = {p: x.tolist() for p, x in zip(pairs, np.split(order, at[1:]), strict=True)} if pairs else {}
+        waiting: dict[int, list[int]] = {r: [p] for r, p in zip(ranks.tolist(), pairs, strict=True)}  # rank -> pairs that make its token
         ids = start.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known, tokens, rank_of = self.made, self.tokens, self.rank
-        heap = list(places)
+        heap = list(waiting)
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
-            spots = places.pop(rank, None)
-            if not spots:
+            pairs = waiting.pop(rank, None)
+            if pairs is None:
                 continue
+            if len(pairs) == 1:
+                spots = places.pop(pairs[0])
+            else:  # merges of one rank go from left to right, whatever their pair
+                spots = [i for p in pairs for i in places.pop(p)]
             spots.sort()
             token = tokens[rank]
             for k, i in enumerate(spots):
@@ -79,7 +87,7 @@ class MergeReplay:
                     continue
                 j = after[i]
                 b = ids[j]
-                if b < 0 or tokens[a] + tokens[b] != token:
+                if b < 0 or (a << 32 | b) not in pairs:
                     continue
                 ids[i] = rank
                 ids[j] = -2  # gone
@@ -88,34 +96,48 @@ class MergeReplay:
                 lower = False
                 left = before[i]
                 if left >= 0 and (x := ids[left]) >= 0:
-                    key = x << 32 | rank
-                    if (made := known.get(key)) is None:
-                        made = known[key] = rank_of.get(tokens[x] + token, -1)
+                    pair = x << 32 | rank
+                    if (made := known.get(pair)) is None:
+                        made = known[pair] = rank_of.get(tokens[x] + token, -1)
                     if made >= 0:
-                        if made in places:
-                            places[made].append(left)
+                        if pair in places:
+                            places[pair].append(left)
                         else:
-                            places[made] = [left]
-                            heapq.heappush(heap, made)
+                            places[pair] = [left]
+                            if made in waiting:
+                                waiting[made].append(pair)
+                            else:
+                                waiting[made] = [pair]
+                                heapq.heappush(heap, made)
                         lower = made <= rank
                 if (y := ids[right]) >= 0:
-                    key = rank << 32 | y
-                    if (made := known.get(key)) is None:
-                        made = known[key] = rank_of.get(token + tokens[y], -1)
+                    pair = rank << 32 | y
+                    if (made := known.get(pair)) is None:
+                        made = known[pair] = rank_of.get(token + tokens[y], -1)
                     if made >= 0:
-                        if made in places:
-                            places[made].append(i)
+                        if pair in places:
+                            places[pair].append(i)
                         else:
-                            places[made] = [i]
-                            heapq.heappush(heap, made)
+                            places[pair] = [i]
+                            if made in waiting:
+                                waiting[made].append(pair)
+                            else:
+                                waiting[made] = [pair]
+                                heapq.heappush(heap, made)
                         lower |= made <= rank
                 if lower:  # an earlier merge has become possible: it goes first
-                    rest = spots[k + 1 :]
-                    if rank in places:
-                        places[rank] += rest
-                    else:
-                        places[rank] = rest
-                        heapq.heappush(heap, rank)
+                    for i in spots[k + 1 :]:
+                        pair = ids[i] << 32 | ids[after[i]] if ids[i] >= 0 else -1
+                        if pair in pairs:
+                            if pair in places:
+                                places[pair].append(i)
+                            else:
+                                places[pair] = [i]
+                                if rank in waiting:
+                                    waiting[rank].append(pair)
+                                else:
+                                    waiting[rank] = [pair]
+                                    heapq.heappush(heap, rank)
                     break
         flat = np.array(ids, np.int64)
         kept = flat >= 0
@@ -129,14 +151,17 @@ class BlockEncoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.replay, self.find = MergeReplay(tokens), regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Packed little-endian ids of each document."""
         cut = [self.find(t) for t in documents]
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > MEMO_PIECES or self.held > MEMO_BYTES:
             self.memo.clear()
             self.replay.made.clear()
+            self.held = 0
         new = list(set().union(*cut) - self.memo.keys())
+        self.held += sum(map(len, new))
         self.memo.update(zip(new, (x.tobytes() for x in self.replay.encode(p.encode() for p in new)), strict=True))
         get = self.memo.__getitem__
         return [b"".join(map(get, c)) for c in cut]
