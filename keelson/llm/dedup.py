@@ -20,7 +20,12 @@ equal anchors, and about every tenth byte starts one.
 
 Documents travel as compressed blocks of bounded size, which the steps share.
 Every group is a block or a bucket whose number grows with the bytes of the
-input; hot anchors are pre-aggregated by block before they are shuffled.
+input; hot anchors are pre-aggregated by block before they are shuffled. What is
+sent to buckets goes through a second level if there are more buckets than a task
+can make blobs for. An anchor that very many blocks have is split by the bytes
+beside it: a window has 9 bytes after the anchor or 10 before it, and equal
+windows have the same ones, so each such surrounding goes to the bucket of either
+side for the windows of this side.
 
 Defined results: a null text is an empty one; texts under 50 bytes are kept
 whole. Rows without id are kept whole and are nobody's earlier document. Rows
@@ -51,6 +56,13 @@ FLANK = LENGTH - WORD  # 18; a window holds FLANK + 1 words
 BLOCK_BYTES = 8 << 20
 #: Sequences sorted in one collection; each has one anchor, and symbols have 16 bits.
 COLLECTION_ROWS = 20_000
+#: Buckets for which one task makes blobs; beyond them a blob goes to a range of buckets first.
+FAN = 2048
+#: Bytes that a task of the second level gathers before it deals them to buckets.
+GATHER_BYTES = 64 << 20
+#: Blocks with one anchor from which on it is split; bytes after it and before it by which it is.
+HOT_BLOCKS = 4096
+AFTER, BEFORE = FLANK // 2, FLANK - FLANK // 2 + 1
 _TOP = np.uint64(2**64 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -78,6 +90,56 @@ def unpacked(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _row_lists(a: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Arrays with one entry, or one row of entries, for each of n rows."""
+    return {k: x.reshape(n, -1) if len(x) != n else x for k, x in a.items()}
+
+
+def dealt(bucket: np.ndarray, buckets: int, fan: int, **arrays: np.ndarray) -> list[tuple[int, bytes]]:
+    """(key, blob) of rows by bucket, or by ranges of buckets (then with the bucket) if there are many."""
+    width = -(-buckets // fan)
+    if width > 1:
+        arrays["bucket"] = bucket.astype(np.uint32)
+        bucket = bucket // width
+    by = np.argsort(bucket, kind="stable")
+    return [(b, packed(**{k: x[by[s]].ravel() for k, x in arrays.items()})) for b, s in _split(bucket[by].astype(np.int64))]
+
+
+def second_level(sent: DataFrame, buckets: int) -> DataFrame:
+    """(key, blob) by bucket of what was sent to ranges of buckets.
+
+    Tasks stream over whole ranges, however many blobs these have, and deal what
+    they gathered; each range has FAN buckets or fewer if there are up to FAN * FAN.
+    """
+    if buckets <= FAN:
+        return sent
+    limit = GATHER_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            got = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            bucket = got.pop("bucket").astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            return _rows(*_KEYED, [(b, packed(**{k: x[by[s]].ravel() for k, x in got.items()})) for b, s in _split(bucket[by])])
+
+        for batch in batches:
+            for blob in batch.column(1):
+                a = unpacked(blob.as_py())
+                a = _row_lists(a, len(a["bucket"]))
+                held.append(a)
+                size += sum(x.nbytes for x in a.values())
+                if size >= limit:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return sent.repartition("key").mapInArrow(run, "key long, blob binary")
+
+
 def block_of(doc_id: np.ndarray, blocks: int) -> np.ndarray:
     return (C.mix(doc_id.astype(np.int64).view(np.uint64).copy()) % np.uint64(blocks)).astype(np.int64)
 
@@ -181,6 +243,7 @@ def _cuts(ids: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[
 
 def send_anchors(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """(key, blob): by bucket, the distinct anchor tags of each block in a part of the input."""
+    fan = FAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, offs, _ in _gathered(batches):
@@ -200,15 +263,15 @@ def send_anchors(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
             first = np.flatnonzero(new)
             several = np.maximum.reduceat(again, first) if len(first) else again
             code, own = code[first], own[first]
-            rows = [(b, packed(tag=(code[s] & _LOW).astype(np.uint32), block=own[s].astype(np.uint32), several=several[s])) for b, s in _split((code >> _32).astype(np.int64))]
+            rows = dealt((code >> _32).astype(np.int64), buckets, fan, tag=(code & _LOW).astype(np.uint32), block=own.astype(np.uint32), several=several)
             if rows:
                 yield _rows(*_KEYED, rows)
 
-    return docs.mapInArrow(run, "key long, blob binary")
+    return second_level(docs.mapInArrow(run, "key long, blob binary"), buckets)
 
 
 def shared_anchors(sent: DataFrame) -> DataFrame:
-    """(key, blob): by block, the codes of its anchors that occur in two documents."""
+    """(key, blob): by block, the codes of its anchors that occur in two documents, and which are to be split."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["key"][0].as_py()
@@ -219,10 +282,14 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
         n = np.diff(np.append(first, len(tag)))
         shared = np.repeat((n > 1) | np.logical_or.reduceat(several, first), n)
-        tag, block = tag[shared], block[shared]
+        hot = np.repeat(n > HOT_BLOCKS, n)
+        tag, block, hot = tag[shared], block[shared], hot[shared]
         order = np.lexsort((tag, block))
-        tag, block = tag[order], block[order]
-        rows = [(b, packed(code=np.uint64(bucket) << _32 | np.unique(tag[s]).astype(np.uint64))) for b, s in _split(block.astype(np.int64))]
+        tag, block, hot = tag[order], block[order], hot[order]
+        once = np.ones(len(tag), bool)
+        once[1:] = (tag[1:] != tag[:-1]) | (block[1:] != block[:-1])
+        tag, block, hot = tag[once], block[once], hot[once]
+        rows = [(b, packed(code=np.uint64(bucket) << _32 | tag[s].astype(np.uint64), hot=hot[s])) for b, s in _split(block.astype(np.int64))]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
     return sent.groupBy("key").applyInArrow(run, "key long, blob binary")
@@ -248,11 +315,15 @@ def _surroundings(ids: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterato
 
 def send_surroundings(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(key, blob): by bucket, the distinct surroundings of shared anchors in each block."""
+    fan = FAN
 
     def run(key: tuple, left_table: pa.Table, right_table: pa.Table) -> pa.Table:
         rows = []
         if left_table.num_rows and right_table.num_rows:
-            wanted = np.sort(np.concatenate([unpacked(x.as_py())["code"] for x in right_table["blob"]]))
+            got = [unpacked(x.as_py()) for x in right_table["blob"]]
+            wanted, split = (np.concatenate([g[k] for g in got]) for k in ("code", "hot"))
+            by = np.argsort(wanted)
+            wanted, split = wanted[by], split[by]
             ids, buf, offs, _ = _block(left_table)
             parts = []
             for part, at, h, mark, left, right, doc in _surroundings(ids, buf, offs):
@@ -264,24 +335,35 @@ def send_surroundings(texts: DataFrame, shared: DataFrame, buckets: int) -> Data
                 near = np.arange(-FLANK, FLANK)
                 where = at[:, None] + np.where(near < 0, near, near + WORD)
                 flanks = part[np.clip(where, 0, len(part) - 1)] if len(part) else np.zeros((0, 2 * FLANK), np.uint8)
-                parts.append((h, mark, ids[doc], left.astype(np.uint8), right.astype(np.uint8), flanks))
-            h, mark, doc, left, right, flanks = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((h, mark, ids[doc], left.astype(np.uint8), right.astype(np.uint8), flanks, split[k[keep]]))
+            h, mark, doc, left, right, flanks, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((doc, mark, h))
             new = np.ones(len(order), bool)
             new[1:] = (h[order[1:]] != h[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
             first = order[new]  # with the smallest doc_id of the block
-            several = np.zeros(len(first), bool)
-            if len(first):
-                last = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
-                several = doc[last] != doc[first]
-            bucket = (code_of(h[first], buckets) >> _32).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            for b, s in _split(bucket[by]):
-                i = first[by[s]]
-                rows.append((b, packed(block=np.array([key[0]], np.int64), h=h[i], mark=mark[i], doc=doc[i], left=left[i], right=right[i], flanks=flanks[i].ravel())))
+            whole = first[~hot[first]]
+            after = first[hot[first] & (right[first] >= AFTER)]
+            before = first[hot[first] & (left[first] >= BEFORE)]
+            i = np.concatenate((whole, after, before))
+            side = np.repeat(np.array([0, 1, 2], np.uint8), (len(whole), len(after), len(before)))
+            group = np.concatenate((h[whole], _beside(h[after], flanks[after, FLANK : FLANK + AFTER], 1), _beside(h[before], flanks[before, FLANK - BEFORE : FLANK], 2)))
+            bucket = (code_of(group, buckets) >> _32).astype(np.int64)
+            rows = dealt(bucket, buckets, fan, block=np.full(len(i), key[0], np.int64), h=group, key=h[i] ^ mark[i] * np.uint64(3), mark=mark[i], side=side, doc=doc[i], left=left[i], right=right[i], flanks=flanks[i])
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
-    return texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(run, "key long, blob binary")
+    return second_level(texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(run, "key long, blob binary"), buckets)
+
+
+def _beside(h: np.ndarray, near: np.ndarray, side: int) -> np.ndarray:
+    """Hashes of anchors together with bytes beside them."""
+    out = h + np.uint64(side) * np.uint64(C._MULT)
+    for k in range(near.shape[1]):
+        out = C.mix(out + near[:, k] + np.uint64(1))
+    return out
+
+
+#: Windows that a surrounding is asked for, by side: all, those with AFTER bytes after the anchor, those with BEFORE before it.
+_ASKED = np.array([[True] * (FLANK + 1), [j <= FLANK - AFTER for j in range(FLANK + 1)], [j > FLANK - AFTER for j in range(FLANK + 1)]])
 
 
 def _window_owners(h: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, flanks: np.ndarray) -> np.ndarray:
@@ -323,8 +405,7 @@ def resolve(sent: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         got = [unpacked(x.as_py()) for x in table["blob"]]
-        block = np.concatenate([np.repeat(g["block"], len(g["h"])) for g in got])
-        h, mark, doc, left, right = (np.concatenate([g[k] for g in got]) for k in ("h", "mark", "doc", "left", "right"))
+        block, h, key, mark, side, doc, left, right = (np.concatenate([g[k] for g in got]) for k in ("block", "h", "key", "mark", "side", "doc", "left", "right"))
         flanks = np.concatenate([g["flanks"] for g in got]).reshape(len(h), 2 * FLANK)
         order = np.lexsort((doc, mark, h))
         new = np.ones(len(order), bool)
@@ -348,7 +429,7 @@ def resolve(sent: DataFrame) -> DataFrame:
             part = rivals[at:to]
             i = rep[part]
             owners = _window_owners(h[i], doc[i], left[i], right[i], flanks[i])
-            hit = owners < least[part][:, None]
+            hit = (owners < least[part][:, None]) & _ASKED[side[i]]
             mask[part] = (hit << np.arange(FLANK + 1)).sum(1)
             at = to
         mask, least = mask[kind], least[kind]
@@ -356,8 +437,8 @@ def resolve(sent: DataFrame) -> DataFrame:
         # a block whose only document here is the class's first one, with no window, has nothing to mark;
         # whether it has later documents only the block knows, so every surrounding goes back
         by = np.lexsort((mark[back], h[back], block[back]))
-        block, h, mark, mask, least = block[back][by], h[back][by], mark[back][by], mask[by], least[by]
-        rows = [(b, packed(key=h[s] ^ mark[s] * np.uint64(3), least=least[s], mask=mask[s])) for b, s in _split(block)]
+        block, key, mask, least = block[back][by], key[back][by], mask[by], least[by]
+        rows = [(b, packed(key=key[s], least=least[s], mask=mask[s])) for b, s in _split(block)]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
     return sent.groupBy("key").applyInArrow(run, "key long, blob binary")
@@ -381,6 +462,8 @@ def cut_repeats(texts: DataFrame, marks: DataFrame, others_schema: T.StructType,
                 known, least, mask = (np.concatenate([g[k] for g in got]) for k in ("key", "least", "mask"))
                 order = np.argsort(known)
                 known, least, mask = known[order], least[order], mask[order]
+                first = np.flatnonzero(np.append(True, known[1:] != known[:-1]))  # split anchors have one for either side
+                known, least, mask = known[first], least[first], np.bitwise_or.reduceat(mask, first)
             done = 0
             for part, at, h, mark, left, right, doc in _surroundings(ids, buf, offs):
                 first, to = done, done
