@@ -11,7 +11,7 @@ true boundaries, so record starts faked inside payloads are rejected.
 
 Defined results: a null payload is an empty one. Pages without id are always
 responses and come back with a null id. Rows that share the largest id of their
-payload are all responses.
+payload are all responses. Repeated rows come back as often as they occur.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from keelson.llm import common as C
 
 MAGIC = b"WARC/1.1\r\n"
-#: Records a file, which bounds what one task holds while it looks for candidates.
+#: Records a file if none is larger than SMALL_BYTES; half as many whenever the bound on their size doubles.
 FILE_RECORDS = 1000
+SMALL_BYTES = 64 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 
@@ -70,10 +71,17 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write (page_id, url, html) as archives below ``path`` through Spark's text writer."""
+    """Write (page_id, url, html) as archives below ``path`` through Spark's text writer.
+
+    Pages are written by classes of their size, of which there are a few dozen at
+    most, so that a file has about FILE_RECORDS * SMALL_BYTES bytes at most, or
+    one record.
+    """
     C.small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = pages.join(C.checked_broadcast(revisits(pages, min_bytes)), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    again = C.checked_broadcast(C.cut(revisits(pages, min_bytes)))
+    size = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0))
+    pages = pages.withColumn("class", F.when(size <= SMALL_BYTES, 0).otherwise(F.ceil(F.log2(size / SMALL_BYTES))).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +91,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                 out.append(head.encode() + block)
             yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    for k in sorted(r["class"] for r in pages.select("class").distinct().collect()) or [0]:
+        rows = pages.where(F.col("class") == k).join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
+        rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, FILE_RECORDS >> k)).text(f"{path}/class-{k}")
+
+
+class ArchiveError(ValueError):
+    """An archive whose chain of records does not end where the file does."""
 
 
 def _long(pattern: bytes, value: bytes | None) -> int | None:
@@ -140,8 +154,14 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each true record."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each true record.
+
+    An archive in which the chain breaks off before the end is an error, since
+    the records behind the break are lost.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    source = source.withColumn("file", F.regexp_extract("path", "[^/]+/[^/]+$", 0))
+    files = source.select("file", "content")
     schema = "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +173,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     found = C.cut(files.mapInArrow(run, schema))  # no payloads, a few fields a candidate
-    return found.join(reachable(found), ["file", "at"], "left_semi").drop("file", "at", "next")
+    true = found.join(reachable(found), ["file", "at"], "left_semi")
+    ends = source.select("file", "length").join(true.groupBy("file").agg(F.max("next").alias("end")), "file", "left")
+    broken = ends.where("end is null or end <> length").orderBy("file").limit(10).collect()
+    if broken:
+        raise ArchiveError("; ".join(f"{r['file']}: the chain ends at byte {r['end'] or 0} of {r['length']}" for r in broken))
+    return true.drop("file", "at", "next")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -161,4 +186,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes)
-    return read_archives(spark, path)
+    records = C.cut(read_archives(spark, path))
+    C.remove(spark, path)
+    return records
