@@ -59,8 +59,8 @@ class ForestParams:
     part_rows: int = 256
     part_shingles: int = 1 << 19
     #: Rows, and bytes of shingles, of small nodes that a task is meant to hold.
-    task_rows: int = 20_000
-    task_bytes: int = 8 << 20
+    task_rows: int = 2000
+    task_bytes: int = 4 << 20
 
     @property
     def values(self) -> int:
@@ -434,7 +434,7 @@ def jaccard_rows(documents: DataFrame, p: ForestParams = ForestParams(), id_col:
     bins = max(1, ceil(8 * (members.join(near.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0) / p.task_bytes))
     texts = shingles_of(docs, C.checked_broadcast(near.select("node", "doc_id", "h", "d1", "d2")), p)
     task = F.pmod(F.xxhash64(*_MEMBER), F.lit(bins)).alias("task")
-    rows = C.checked_broadcast(members.select(task, *_MEMBER, "side", "node").join(near.select("node", "copies", "labels"), "node"))
+    rows = members.select(task, *_MEMBER, "side", "node").join(near.select("node", "copies", "labels"), "node")
     found = C.cut(verify(texts.join(rows, "node"), p))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     root = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
