@@ -41,7 +41,9 @@ def frame(spark, corpus):
     return spark.createDataFrame(rows).cache()
 
 
-def test_suffixes_equal_sorting():
+@pytest.mark.parametrize("block", [1 << 16, 5])
+def test_suffixes_equal_sorting(monkeypatch, block):
+    monkeypatch.setattr(bcr, "BLOCK", block)
     rng = np.random.RandomState(0)
     for _ in range(60):
         n, m, a = rng.randint(1, 8), rng.randint(1, 8), rng.randint(1, 3)
@@ -85,8 +87,11 @@ def test_removal_equals_brute_force(frame, corpus, monkeypatch, block):
     assert {i: sorted(v) for i, v in got.items()} == plain_removal(corpus)
 
 
-def test_small_collections_give_the_same(frame, corpus, monkeypatch):
-    monkeypatch.setattr(dedup, "COLLECTION_ROWS", 50)
+@pytest.mark.parametrize("limits", [{"COLLECTION_ROWS": 50}, {"HOT_BLOCKS": 0, "BLOCK_BYTES": 1 << 15}, {"FAN": 3, "GATHER_BYTES": 1 << 14, "BLOCK_BYTES": 1 << 15, "HOT_BLOCKS": 2}])
+def test_bounds_do_not_change_results(frame, corpus, monkeypatch, limits):
+    """Small collections, all anchors split by the bytes beside them, and buckets in two levels."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dedup, name, value)
     assert dedup.remove_repeats(frame).agg(F.sum("n_removed")).first()[0] == sum(x[1] for v in plain_removal(corpus).values() for x in v)
 
 
@@ -233,6 +238,29 @@ def test_archives_come_back(spark, monkeypatch, records):
     assert got == sorted(expected, key=repr)
 
 
+def test_large_pages_get_files_of_their_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "SMALL_BYTES", 1000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 8)
+    pages = spark.createDataFrame([(i, "http://a/", f"{i}" + "x" * (i * 400)) for i in range(24)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in tmp_path.glob("w/*/part*")]
+    assert max(sizes) < 8 * 1000 + 8 * 400 + 2 * 9600 and len(sizes) > 8
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 24
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a/", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    (part,) = tmp_path.glob("w/*/part*")
+    good = part.read_bytes()
+    other = tmp_path / "bad" / "x"
+    other.mkdir(parents=True)
+    for bad in (good.replace(b"page 4", b"page 4, longer"), good[:-9], b"z" + good):
+        (other / "one.warc").write_bytes(bad)
+        with pytest.raises(warc.ArchiveError, match="one.warc"):
+            warc.read_archives(spark, str(tmp_path / "bad"))
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.round_trip(pages, min_bytes=5).collect()} == {"response"}
@@ -290,6 +318,17 @@ def test_pipeline(spark, data):
     assert c.run(spark, data).count() > 0
 
 
+def test_stages_keep_rows_without_text_and_other_columns(spark):
+    """Names of columns that stages use for themselves do not clash; nothing is made of nothing."""
+    rows = [(1, "one text of some words that is long enough to be found in another row", 1, 2, 3, "a"), (2, None, 4, 5, 6, "b"), (3, "", 7, 8, 9, "c"), (None, None, 0, 0, 0, "d"), (4, "and one text of some words that is long enough to be found in another row", 1, 2, 3, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, key long, n_chars long, kept string")
+    for stage in (corpus_pipeline.jaccard_join, corpus_pipeline.suffix_dedup, corpus_pipeline.surrogates):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.count() == 5
+        assert sorted((r["kept"], r["text"], r["h"], r["key"]) for r in got.where("coalesce(text, '') = ''").collect()) == [("b", None, 4, 5), ("c", "", 7, 8), ("d", None, 0, 0)]
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_cuts_leave_replacement_characters_of_the_text(spark):
     """Only what a cut leaves of a character goes; U+FFFD of the text itself stays."""
     passage = "\u00e9" + "".join(chr(97 + i * 7 % 26) for i in range(60)) + "\u00e9"
