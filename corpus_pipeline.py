@@ -1,8 +1,13 @@
 """A corpus from documents to packed sequences, in stages that are written one by one.
 
 ``run`` writes each stage as Parquet into the shared folder and rereads it, so a
-lost executor never repeats more than one stage. Every stage but the last
-returns the columns of ``documents``.
+lost executor never repeats more than one stage; what a stage has read is deleted
+when it is written. Every stage but the last returns the columns of ``documents``.
+
+Defined results: rows without id are never near copies or repeats of others, and
+stay. Null texts stay null and empty ones empty wherever the classifier keeps
+them. Repeated rows are one document from the join on. Empty tables give empty
+tables, and other columns are passed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import dedup, forest, packing, pii, qda
-from keelson.llm.common import checked_broadcast, cut, shared_dir, table
+from keelson.llm.common import checked_broadcast, cut, remove, shared_dir, table
 from keelson.llm.queries import PII_KEY
 
 #: No SQL: the classifier and the surrogates cannot be expressed in it.
@@ -21,7 +26,7 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quadratic discriminant rejects."""
+    """Drops the documents that the quadratic discriminant rejects; null and empty texts are judged as empty ones."""
     return qda.keep_good(docs, qda.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -48,18 +53,22 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; what is left of characters at the cuts goes too."""
-    cut_docs = dedup.remove_repeats(docs, keep_others=True, whole_chars=True)
-    return _with_text(cut_docs, docs, F.col("kept").cast("string"))
+    """Cuts passages that an earlier document has; what is left of characters at the cuts goes too.
+
+    Rows without text have none to cut and stay as they are.
+    """
+    some = docs.where("text is not null")
+    cut_docs = dedup.remove_repeats(some, keep_others=True, whole_chars=True)
+    return _with_text(cut_docs, docs, F.col("kept").cast("string")).unionByName(docs.where("text is null"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates."""
+    """Replaces personal data by surrogates; a null text stays null."""
     return _with_text(pii.pseudonymise(docs, PII_KEY, keep_others=True), docs, F.col("text"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences."""
+    """Places of all documents in sequences; null and empty texts have no place, but a row."""
     return packing.pack(docs)
 
 
@@ -82,7 +91,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
