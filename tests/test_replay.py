@@ -1,4 +1,4 @@
-"""Claim replay and deletion on the scenario of two signers, and on random logs."""
+"""Claim replay and deletion on logs of several signers, against a fold over the claims one by one."""
 
 import random
 from datetime import UTC, datetime, timedelta
@@ -8,16 +8,7 @@ import pytest
 from keelson.model import SCHEMAS, Store
 from keelson.operators import describe, replay
 
-START = datetime(1970, 1, 1, tzinfo=UTC)
-# time, operation, attribute, value, signer
-LOG = [
-    (100, "set", "foo", "foov", 1), (101, "add", "tag", "a", 1), (102, "add", "tag", "b", 1), (103, "del", "tag", "", 1), (104, "add", "tag", "c", 1),
-    (105, "add", "tag", "d", 2), (106, "add", "tag", "e", 1), (107, "del", "tag", "d", 2), (108, "add", "tag", "f", 2),
-    (109, "add", "DelAll", "a", 1), (110, "add", "DelAll", "b", 1), (111, "add", "DelAll", "c", 2), (112, "del", "DelAll", "", 1),
-    (113, "add", "DelOne", "a", 1), (114, "add", "DelOne", "b", 1), (115, "add", "DelOne", "c", 1), (116, "add", "DelOne", "d", 2), (117, "add", "DelOne", "e", 2), (118, "del", "DelOne", "d", 2), (119, "del", "DelOne", "a", 1),
-    (120, "add", "SetAfterAdd", "a", 1), (121, "add", "SetAfterAdd", "b", 1), (122, "add", "SetAfterAdd", "c", 2), (123, "set", "SetAfterAdd", "setv", 1),
-    (201, "set", "CacheTest", "foo", 1), (202, "set", "CacheTest", "foo", 2),
-]
+START = datetime(2021, 6, 1, tzinfo=UTC)
 KINDS = {"set": "set-attribute", "add": "add-attribute", "del": "del-attribute"}
 
 
@@ -29,36 +20,6 @@ def make(spark, log):
     return spark.createDataFrame([(f"c-{i:04x}", "pn-0", f"signer-{g}", at(t), KINDS[op], a, v) for i, (t, op, a, v, g) in enumerate(log)], SCHEMAS["claims"])
 
 
-@pytest.fixture(scope="module")
-def claims(spark):
-    return make(spark, LOG).cache()
-
-
-@pytest.mark.parametrize(
-    ("attr", "when", "signer", "expected"),
-    [
-        ("tag", None, None, ["c", "e", "f"]), ("tag", 102, None, ["a", "b"]), ("tag", None, 1, ["c", "e"]), ("tag", 105, 2, ["d"]),
-        ("DelOne", None, None, ["b", "c", "e"]), ("DelOne", None, 1, ["b", "c"]), ("DelOne", None, 2, ["e"]),
-        ("DelAll", None, None, []), ("DelAll", None, 1, []), ("DelAll", None, 2, ["c"]),
-        ("SetAfterAdd", None, None, ["setv"]), ("SetAfterAdd", None, 2, ["c"]), ("tag", 200, None, ["c", "e", "f"]), ("DelOne", 200, 1, ["b", "c"]),
-    ],
-)
-def test_scenario(claims, attr, when, signer, expected):
-    rows = claims if signer is None else claims.where(f"signer = 'signer-{signer}'")
-    rows = replay.until(rows, at(when) if when else None)
-    got = {r["attr"]: r["vals"] for r in replay.attributes(rows).collect()}
-    assert got.get(attr, []) == expected
-
-
-def test_first_and_has_value(claims):
-    first = {r["attr"]: r["value"] for r in replay.first_values(claims).collect()}
-    assert (first["tag"], first["DelOne"]) == ("c", "b")
-    assert {r["attr"]: r["value"] for r in replay.first_values(replay.until(claims, at(102))).collect()}["tag"] == "a"
-    assert replay.has_value(claims, "DelOne", "b").count() == 1
-    assert replay.has_value(claims, "DelOne", "a").count() == 0
-    assert replay.has_value(replay.until(claims, at(102)), "tag", "c").count() == 0
-
-
 def fold(log, show):
     """Attributes by replaying one claim after the other; ``show``: as descriptions do."""
     held, mod = {}, None
@@ -76,18 +37,49 @@ def fold(log, show):
     return {a: v for a, v in held.items() if v}, mod
 
 
+def random_log(seed, n, signers):
+    """Claims at rising times: many additions, some that set, delete a value, or delete all."""
+    rng = random.Random(seed)
+    return [(10 * i, rng.choice(["set", "add", "add", "add", "del"]), rng.choice("pq"), rng.choice(["", "x", "y", "z"]), rng.choice(signers)) for i in range(n)]
+
+
+def held(rows, **options):
+    return {r["attr"]: r["vals"] for r in replay.attributes(rows, **options).collect()}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_logs_equal_a_fold(spark, seed):
-    rng = random.Random(seed)
-    log = [(i, rng.choice(["set", "add", "add", "add", "del"]), rng.choice("pq"), rng.choice(["", "x", "y", "z"]), 1) for i in range(60)]
+    log = random_log(seed, 60, [1])
     rows = make(spark, log)
-    assert {r["attr"]: r["vals"] for r in replay.attributes(rows).collect()} == fold(log, False)[0]
+    assert held(rows) == fold(log, False)[0]
     shown, mod = fold(log, True)
-    assert {r["attr"]: r["vals"] for r in replay.attributes(rows, dedupe=True).collect()} == shown
+    assert held(rows, dedupe=True) == shown
     store = Store.of(spark, claims=rows, signers=spark.createDataFrame([("signer-1", "ka")], SCHEMAS["signers"]))
     assert describe.described_modtimes(store, replay.deleted(store.deletions)).first()["mod"].replace(tzinfo=UTC) == at(mod)
 
 
+@pytest.mark.parametrize("seed", range(10, 13))
+def test_replay_of_a_signer_at_a_time(spark, seed):
+    """Only claims of the signers asked for and up to the time count, as if there were no others."""
+    log = random_log(seed, 50, [1, 2, 3])
+    rows = make(spark, log).cache()
+    for signers in ({1}, {2, 3}, {1, 2, 3}):
+        mine = rows.where(rows["signer"].isin(*(f"signer-{g}" for g in signers)))
+        for end in (-5, 0, 115, 250, 10**6):
+            expected = fold([x for x in log if x[4] in signers and x[0] <= end], False)[0]
+            now = replay.until(mine, at(end))
+            assert held(now) == expected
+            assert {r["attr"]: r["value"] for r in replay.first_values(now).collect()} == {a: v[0] for a, v in expected.items()}
+            assert replay.has_value(now, "p", "x").count() == ("x" in expected.get("p", []))
+
+
+def test_a_reset_spares_what_comes_after_it(spark):
+    log = [(1, "add", "shelf", "left", 1), (2, "add", "shelf", "right", 2), (3, "set", "shelf", "top", 1), (4, "add", "shelf", "left", 2), (5, "del", "shelf", "top", 2), (6, "add", "lamp", "on", 1), (7, "del", "lamp", "", 2)]
+    assert held(make(spark, log)) == {"shelf": ["left"]}
+    assert held(make(spark, log[:4])) == {"shelf": ["top", "left"]}
+    assert held(make(spark, [x for x in log if x[4] == 1])) == {"shelf": ["top"], "lamp": ["on"]}
+
+
 @pytest.mark.parametrize(("edges", "dead"), [([], set()), ([("c1", "d1")], {"c1"}), ([("c1", "d1"), ("d1", "d2")], {"d1"}), ([("c1", "d1"), ("d1", "d2"), ("d2", "d3")], {"c1", "d2"}), ([("c1", "d1"), ("c1", "e1"), ("d1", "d2")], {"c1", "d1"})])
 def test_deletion_can_be_deleted(spark, edges, dead):
     assert {r["ref"] for r in replay.deleted(spark.createDataFrame(edges, SCHEMAS["deletions"])).collect()} == dead
