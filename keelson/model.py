@@ -29,6 +29,8 @@ INDEXED_ATTRS = ("camliRoot", "camliImportRoot", "tag", "title")
 TIME_ATTRS_BEFORE_FILE = ("paymentDueDate", "startDate", "dateCreated")
 TIME_ATTRS_AFTER_FILE = ("datePublished", "dateModified")
 VENUE = "foursquare.com:venue"
+#: Objects of a type may have the place of an object that an attribute refers to: a fixed value.
+PLACE_OF = {"foursquare.com:checkin": "foursquareVenuePermanode"}
 
 
 @dataclass

@@ -14,19 +14,27 @@ from keelson.plans.search import page_size
 from keelson.runtime import cut
 
 
-def described_values(store: Store, dead: DataFrame, at=None) -> DataFrame:
+def _claims(store: Store, dead: DataFrame, at=None, refs: DataFrame | None = None) -> DataFrame:
+    """Live claims of the owner on the given objects (default: all), which are chosen before anything else is done."""
+    c = replay.until(store.claims, at)
+    if refs is not None:
+        c = c.join(refs.select(F.col("ref").alias("permanode")).distinct(), "permanode", "left_semi")
+    return replay.of_key(replay.not_deleted(c, dead, "claim_ref"), store.signers, store.owner_key)
+
+
+def described_values(store: Store, dead: DataFrame, at=None, refs: DataFrame | None = None) -> DataFrame:
     """Held values as descriptions show them: live claims of the owner, no empty and no double values."""
-    c = replay.of_key(replay.not_deleted(replay.until(store.claims, at), dead, "claim_ref"), store.signers, store.owner_key)
-    return replay.held_values(c, dedupe=True)
+    return replay.held_values(_claims(store, dead, at, refs), dedupe=True)
 
 
-def described_modtimes(store: Store, dead: DataFrame) -> DataFrame:
+def described_modtimes(store: Store, dead: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """(permanode, mod): date of the last claim that had an effect in the description's replay.
 
-    Deletes always have one; additions do unless they are empty or the value is held already.
+    Deletes always have one; additions do unless they are empty or the value is held
+    already. Whether it is held is asked of the claims before, in windows over an
+    attribute of an object.
     """
-    c = replay.of_key(replay.not_deleted(store.claims, dead, "claim_ref"), store.signers, store.owner_key)
-    c = c.where("ctype in ('set-attribute', 'add-attribute', 'del-attribute')").withColumn("p", replay.place())
+    c = _claims(store, dead, None, refs).where("ctype in ('set-attribute', 'add-attribute', 'del-attribute')").withColumn("p", replay.place())
     attr = Window.partitionBy("permanode", "attr").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     value = Window.partitionBy("permanode", "attr", "value").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     reset = F.expr("ctype = 'set-attribute' or (ctype = 'del-attribute' and value = '')")
@@ -39,10 +47,10 @@ def described_modtimes(store: Store, dead: DataFrame) -> DataFrame:
 def records(store: Store, refs: DataFrame, dead: DataFrame, places: DataFrame | None = None, at=None) -> DataFrame:
     """One record for each known reference: metadata, attributes, file, image, media tags, children."""
     meta = store.blob_meta.join(refs.select("ref").distinct(), "ref", "left_semi")
-    values = described_values(store, dead, at)
+    values = described_values(store, dead, at, meta)
     lists = values.groupBy("permanode", "attr").agg(F.array_sort(F.collect_list(F.struct("date", "claim_ref", "value"))).alias("l"))
     attrs = lists.groupBy(F.col("permanode").alias("ref")).agg(F.map_from_entries(F.collect_list(F.struct("attr", F.col("l.value")))).alias("attrs"))
-    mods = described_modtimes(store, dead).select(F.col("permanode").alias("ref"), "mod")
+    mods = described_modtimes(store, dead, meta).select(F.col("permanode").alias("ref"), "mod")
     files = store.files.select(F.col("file_ref").alias("ref"), F.struct("file_name", "size", "mime", "time", "mod_time", "whole_ref").alias("file"))
     images = store.images.select(F.col("file_ref").alias("ref"), F.struct("width", "height").alias("image"))
     tags = store.media_tags.groupBy("whole_ref").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("tag", "value")))).alias("media_tags"))
@@ -72,20 +80,25 @@ def is_container(attrs: Column) -> Column:
     return S.true(F.exists(F.map_keys(attrs), lambda k: (k == "camliMember") | k.startswith("camliPath:")))
 
 
-def mentions(store: Store, dead: DataFrame, at=None) -> DataFrame:
-    """(ref, next): references in the names and values of an object's attributes, and children of directories."""
-    v = described_values(store, dead, at)
+def mentions(store: Store, dead: DataFrame, at=None, refs: DataFrame | None = None) -> DataFrame:
+    """(ref, next): references in the names and values of an object's attributes."""
+    v = described_values(store, dead, at, refs)
     found = v.select(F.col("permanode").alias("ref"), F.explode(F.array_union(S.refs_in(F.col("attr")), S.refs_in(F.col("value")))).alias("next"))
     return found.distinct()
 
 
 def reach(store: Store, roots: DataFrame, depth: int, dead: DataFrame) -> DataFrame:
-    """(ref, depth) of what a description covers: each mention costs one step, children of directories none."""
+    """(ref, depth) of what a description covers: each mention costs one step, children of directories none.
+
+    Only the claims on what was reached last are replayed, so the cost follows
+    what is described and not the store.
+    """
     known = cut(store.blob_meta.join(roots.select("ref"), "ref", "left_semi").select("ref", F.lit(depth).alias("depth")).distinct())
-    links = mentions(store, dead).join(store.blob_meta.select(F.col("ref").alias("next")), "next", "left_semi")
-    links = cut(links.select("ref", "next", F.lit(1).alias("cost")).unionByName(members(store.dir_children).select(F.col("dir_ref").alias("ref"), F.col("child_ref").alias("next"), F.lit(0).alias("cost"))))
+    children = members(store.dir_children).select(F.col("dir_ref").alias("ref"), F.col("child_ref").alias("next"), F.lit(0).alias("cost"))
     frontier = known
     while True:
+        links = mentions(store, dead, refs=frontier).join(store.blob_meta.select(F.col("ref").alias("next")), "next", "left_semi")
+        links = links.select("ref", "next", F.lit(1).alias("cost")).unionByName(children)
         ahead = frontier.join(links, "ref").select(F.col("next").alias("ref"), (F.col("depth") - F.col("cost")).alias("depth")).where("depth > 0").groupBy("ref").agg(F.max("depth").alias("depth"))
         new = ahead.join(known.select("ref", F.col("depth").alias("had")), "ref", "left").where("had is null or depth > had").select("ref", "depth")
         frontier = cut(new)
@@ -94,6 +107,14 @@ def reach(store: Store, roots: DataFrame, depth: int, dead: DataFrame) -> DataFr
         known = cut(known.join(frontier.select("ref"), "ref", "left_anti").unionByName(frontier))
 
 
+def with_results(store: Store, found: DataFrame, dead: DataFrame, depth: int = 1) -> DataFrame:
+    """Records of a search's results (ref) and of what they reach; ``result`` marks the results themselves."""
+    found = cut(found.select("ref").distinct())
+    covered = reach(store, found, depth, dead)
+    out = records(store, covered, dead)
+    return out.join(found.withColumn("result", F.lit(True)), "ref", "left").withColumn("result", F.coalesce("result", F.lit(False)))
+
+
 @dataclass
 class Rule:
     """Follow attributes of objects that the rule applies to; inner rules apply to what it found."""
@@ -116,27 +137,28 @@ def by_rules(store: Store, roots: DataFrame, rules: tuple[Rule, ...], dead: Data
 
     for rule in rules:
         add(rule, -1)
-    values = cut(described_values(store, dead).where(S.is_ref(F.col("value"))).select(F.col("permanode").alias("ref"), "attr", F.col("value").alias("next")))
-    kinds = described_values(store, dead).where("attr = 'camliNodeType'").groupBy(F.col("permanode").alias("ref")).agg(F.min_by("value", replay.place()).alias("kind"))
-    steps = None
-    for mine, parent, rule in flat:
-        fits = F.lit(False)
-        for a in rule.attrs:
-            fits |= F.col("attr").startswith(a[:-1]) if a.endswith("*") else F.col("attr") == a
-        rows = values.where(fits)
-        if rule.if_node_type:
-            rows = rows.join(kinds.where(F.col("kind") == rule.if_node_type).select("ref"), "ref", "left_semi")
-        if rule.if_result_root:
-            rows = rows.join(roots.select("ref"), "ref", "left_semi")
-        rows = rows.select("ref", "next", F.lit(mine).alias("rule"), F.lit(parent).alias("parent"))
-        steps = rows if steps is None else steps.unionByName(rows)
     known_blobs = store.blob_meta.select("ref")
-    steps = cut(steps.join(known_blobs.withColumnRenamed("ref", "next"), "next", "left_semi"))
+    roots = roots.select("ref").join(known_blobs, "ref", "left_semi").distinct()
     # what a rule with parent -1 applies to: everything described; else what the parent rule found
-    found = cut(roots.select("ref", F.lit(-1).alias("rule")).join(known_blobs, "ref", "left_semi").distinct())
-    frontier = found
+    found = frontier = cut(roots.select("ref", F.lit(-1).alias("rule")))
     while True:
-        hits = frontier.join(steps.withColumnRenamed("rule", "by"), (frontier["ref"] == steps["ref"]) & (frontier["rule"] == steps["parent"])).select("next", "by")
+        values = described_values(store, dead, refs=frontier)
+        values = cut(values.select(F.col("permanode").alias("ref"), "attr", F.col("value").alias("next"), "date", "claim_ref"))
+        kinds = values.where("attr = 'camliNodeType'").groupBy("ref").agg(F.min_by("next", replay.place()).alias("kind"))
+        rows = values.where(S.is_ref(F.col("next"))).join(known_blobs.withColumnRenamed("ref", "next"), "next", "left_semi").join(kinds, "ref", "left").join(roots.withColumn("root", F.lit(True)), "ref", "left")
+        hits = None
+        for mine, parent, rule in flat:
+            fits = F.lit(False)
+            for a in rule.attrs:
+                fits |= F.col("attr").startswith(a[:-1]) if a.endswith("*") else F.col("attr") == a
+            if rule.if_node_type:
+                fits &= S.true(F.col("kind") == rule.if_node_type)
+            if rule.if_result_root:
+                fits &= F.col("root").isNotNull()
+            mine_of = frontier.where(F.col("rule") == parent).select("ref").join(rows.where(fits), "ref").select("next", F.lit(mine).alias("by"))
+            hits = mine_of if hits is None else hits.unionByName(mine_of)
+        if hits is None:
+            return roots
         new = hits.select(F.col("next").alias("ref"), F.col("by").alias("rule")).unionByName(hits.select(F.col("next").alias("ref"), F.lit(-1).alias("rule"))).distinct()
         frontier = cut(new.join(found, ["ref", "rule"], "left_anti"))
         if frontier.isEmpty():

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.scalar import parsed_float, true
+from keelson.functions.scalar import is_ref, parsed_float, true
+from keelson.model import PLACE_OF
 
 
 def wrapped(longitude: Column) -> Column:
@@ -70,20 +72,36 @@ def spread(places: DataFrame, limit: int) -> DataFrame:
     return turn.orderBy("turn", "cell").limit(limit)
 
 
-def object_places(first: DataFrame, files: DataFrame, gps: DataFrame, alternate: str = "foursquareVenuePermanode") -> DataFrame:
+def gazetteer(table: DataFrame) -> Callable[[str], list[dict]]:
+    """Rectangles of a place's name, whatever its case, from a table (name, north, west, south, east)."""
+
+    def lookup(name: str) -> list[dict]:
+        rows = table.where(F.lower("name") == name.lower()).orderBy("north", "west", "south", "east").limit(100).collect()  # one name
+        return [{k: r[k] for k in ("north", "west", "south", "east")} for r in rows]
+
+    return lookup
+
+
+def object_places(first: DataFrame, files: DataFrame, gps: DataFrame) -> DataFrame:
     """(ref, lat, long) of objects, from (permanode, attr, value) first values.
 
     An object's own latitude and longitude count first; if they cannot be read
-    it has no place. Else the place of the object that it refers to, else that of
-    the photo that it holds.
+    it has no place. Else, for objects of certain types, the place of the object
+    that they refer to, if that has one by itself; else that of the photo that the
+    object holds.
     """
     one = lambda a: F.max(F.when(F.col("attr") == a, F.col("value")))
-    p = first.where(F.col("attr").isin("latitude", "longitude", alternate, "camliContent")).groupBy("permanode").agg(one("latitude").alias("la"), one("longitude").alias("lo"), one(alternate).alias("alt"), one("camliContent").alias("content"))
+    names = ["latitude", "longitude", "camliContent", "camliNodeType", *PLACE_OF.values()]
+    p = first.where(F.col("attr").isin(names)).groupBy("permanode").agg(one("latitude").alias("la"), one("longitude").alias("lo"), one("camliContent").alias("content"), one("camliNodeType").alias("kind"), *(one(a).alias(f"to_{k}") for k, a in enumerate(PLACE_OF.values())))
+    alt = F.lit(None).cast("string")
+    for k, kind in enumerate(PLACE_OF):
+        alt = F.when(F.col("kind") == kind, F.col(f"to_{k}")).otherwise(alt)
+    p = p.withColumn("alt", F.when(is_ref(alt), alt))
     p = p.withColumn("own", F.col("la").isNotNull() & F.col("lo").isNotNull() & (F.col("la") != "") & (F.col("lo") != ""))
-    p = p.withColumn("lat", F.when(F.col("own"), parsed_float(F.col("la")))).withColumn("long", F.when(F.col("own"), parsed_float(F.col("lo"))))
     photo = files.join(gps, "whole_ref").where("not isnan(lat) and not isnan(long)").select(F.col("file_ref").alias("content"), F.col("lat").alias("plat"), F.col("long").alias("plong"))
-    p = p.join(photo, "content", "left").withColumn("lat", F.when(F.col("own"), F.col("lat")).otherwise(F.col("plat"))).withColumn("long", F.when(F.col("own"), F.col("long")).otherwise(F.col("plong")))
-    via = p.where("own").select(F.col("permanode").alias("alt"), F.col("lat").alias("alat"), F.col("long").alias("along"))
+    p = p.join(photo, "content", "left")
+    p = p.withColumn("lat", F.when(F.col("own"), parsed_float(F.col("la"))).otherwise(F.col("plat"))).withColumn("long", F.when(F.col("own"), parsed_float(F.col("lo"))).otherwise(F.col("plong")))
+    via = p.where("lat is not null and long is not null").select(F.col("permanode").alias("alt"), F.col("lat").alias("alat"), F.col("long").alias("along"))
     p = p.join(via, "alt", "left")
     lat = F.when(F.col("own"), F.col("lat")).otherwise(F.coalesce("alat", "lat"))
     long = F.when(F.col("own"), F.col("long")).otherwise(F.coalesce("along", "long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -93,6 +94,32 @@ def media_tags(store: Store) -> DataFrame:
     return store.files.join(tags, "whole_ref").select("file_ref", "tags")
 
 
+def stored_searches(store: Store, times: DataFrame, dead: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(name, permanode, text) of searches that are kept in objects: of each name the newest object counts.
+
+    ``times`` has (ref, any_time); the text is the blob (ref, data) that the object's
+    content refers to, null if it is not there.
+    """
+    mine = replay.not_deleted(replay.of_key(store.claims.where("attr in ('camliNamedSearch', 'camliContent')"), store.signers, store.owner_key), dead, "permanode")
+    named = replay.held_values(mine.where("attr = 'camliNamedSearch'")).select("permanode", F.col("value").alias("name")).distinct()
+    newest = named.join(times.select(F.col("ref").alias("permanode"), "any_time"), "permanode").groupBy("name").agg(F.max(F.struct("any_time", "permanode")).alias("l")).select("name", "l.permanode")
+    shown = replay.held_values(replay.not_deleted(mine.where("attr = 'camliContent'"), dead, "claim_ref"), dedupe=True)
+    content = shown.groupBy("permanode").agg(F.min_by("value", replay.place()).alias("ref"))
+    return newest.join(content, "permanode", "left").join(blobs.select("ref", F.decode("data", "UTF-8").alias("text")), "ref", "left").select("name", "permanode", "text")
+
+
+def named_search(searches: DataFrame) -> Callable[[str], str]:
+    """What the keyword for stored searches asks: the text of a name, from ``stored_searches``."""
+
+    def text(name: str) -> str:
+        row = searches.where(F.col("name") == name).first()
+        if row is None or row["text"] is None:
+            raise QueryError(f"no search is kept under the name {name!r}")
+        return row["text"]
+
+    return text
+
+
 def recent_names(store: Store, dead: DataFrame, limit: int = 100) -> DataFrame:
     """(name, permanode, file_ref) of recent objects with a file; of equal names the newest stays."""
     first = replay.first_values(replay.of_key(store.claims, store.signers, store.owner_key)).where("attr = 'camliContent'")

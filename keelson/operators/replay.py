@@ -14,8 +14,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.scalar import is_ref
 from keelson.runtime import cut
 
+
 def place() -> Column:
     return F.struct("date", "claim_ref")
 
@@ -62,6 +64,39 @@ def first_values(claims: DataFrame) -> DataFrame:
     return held_values(claims).groupBy("permanode", "attr").agg(F.min_by("value", place()).alias("value"))
 
 
+def contents(claims: DataFrame) -> DataFrame:
+    """(permanode, value, date): what an object's last camliContent claim set.
+
+    Claims of all signers count, deleted ones too. Another set replaces, a delete
+    of whatever value clears, and additions are not looked at.
+    """
+    rows = claims.where("attr = 'camliContent' and ctype in ('set-attribute', 'del-attribute')")
+    last = rows.groupBy("permanode").agg(F.max_by(F.struct("ctype", "value", "date"), place()).alias("l"))
+    return last.where("l.ctype = 'set-attribute'").select("permanode", "l.value", "l.date").where(is_ref(F.col("value")))
+
+
+def first_seen(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, date, claim_ref) of distinct keys, in the place of their first claim."""
+    return rows.groupBy(*keys).agg(F.min(place()).alias("p")).select(*keys, "p.date", "p.claim_ref").orderBy("date", "claim_ref")
+
+
+def update_deleted(dead: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
+    """(ref) of what is deleted after more deletions (target, deleter) arrived.
+
+    Only chains that a new deletion touches are settled again: from its ends along
+    known deletions in both directions. All others stay as they were in ``dead``.
+    """
+    links = known.unionByName(new).select("target", "deleter").distinct()
+    touched = cut(new.select(F.col("target").alias("ref")).union(new.select("deleter")).distinct())
+    frontier = touched
+    while not frontier.isEmpty():
+        near = links.join(frontier.withColumnRenamed("ref", "deleter"), "deleter", "left_semi").select(F.col("target").alias("ref")).union(links.join(frontier.withColumnRenamed("ref", "target"), "target", "left_semi").select("deleter"))
+        frontier = cut(near.distinct().join(touched, "ref", "left_anti"))
+        touched = cut(touched.unionByName(frontier))
+    again = deleted(links.join(touched.withColumnRenamed("ref", "target"), "target", "left_semi"))
+    return dead.join(touched, "ref", "left_anti").unionByName(again)
+
+
 def has_value(claims: DataFrame, attr: str, value: str) -> DataFrame:
     """Objects that hold a value of an attribute."""
     return held_values(claims.where(F.col("attr") == attr)).where(F.col("value") == value).select("permanode").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import scalar as S
@@ -134,29 +134,42 @@ def share_allows(shares: DataFrame, mentions: DataFrame, chain: list[str], now:
     return wanted.join(mentions, ["ref", "next"], "left_anti").isEmpty()
 
 
+def outside_domain(rows: DataFrame, domain: DataFrame) -> DataFrame:
+    """(ref) of an application's results that lie outside the domain that it may see."""
+    return rows.select("ref").distinct().join(domain.select("ref"), "ref", "left_anti")
+
+
 def within_domain(rows: DataFrame, domain: DataFrame) -> bool:
     """Whether an application's results all lie in the domain that it may see."""
-    return rows.select("ref").join(domain.select("ref"), "ref", "left_anti").isEmpty()
+    return outside_domain(rows, domain).isEmpty()
+
+
+def shares_allow(shares: DataFrame, mentions: DataFrame, chains: DataFrame, now: datetime) -> DataFrame:
+    """(chain_id, allowed) of many chains (chain_id, chain array) by the rules of ``share_allows``."""
+    hops = F.transform(F.sequence(F.lit(1), F.greatest(F.size("chain") - 2, F.lit(1))), lambda i: F.struct(F.get("chain", i).alias("ref"), F.get("chain", i + 1).alias("next")))
+    hop = chains.where("size(chain) > 2").select("chain_id", F.explode(hops).alias("h")).select("chain_id", "h.*")
+    broken = hop.join(mentions.select("ref", "next").distinct(), ["ref", "next"], "left_anti").select("chain_id").distinct().withColumn("broken", F.lit(True))
+    live = shares.where(~S.true(F.col("deleted")) & (F.col("expires").isNull() | (F.col("expires") > F.lit(now)))).select(F.col("ref").alias("first"), F.col("target").alias("target"), "transitive")
+    rows = chains.withColumn("first", F.get("chain", F.lit(0))).join(live, "first", "left").join(broken, "chain_id", "left")
+    allowed = (F.size("chain") >= 2) & (F.col("target") == F.get("chain", F.lit(1))) & ((F.size("chain") == 2) | F.col("transitive")) & F.col("broken").isNull()
+    return rows.select("chain_id", S.true(allowed).alias("allowed"))
 
 
-def archives(blobs: DataFrame, min_bytes: int, shards: int = 1) -> DataFrame:
-    """(ref, size, archive): blobs in order of reference, bundled until an archive has the minimum.
+def archives(blobs: DataFrame, min_bytes: int) -> DataFrame:
+    """(ref, size, archive): blobs in order of reference, bundled by their place in the sum of all sizes.
 
-    Ranges of references are packed by themselves, one a partition, so that the
-    running size is never taken over all blobs.
+    An archive has the blobs that begin in one stretch of ``min_bytes``, so it
+    differs from the minimum by less than a blob at either end. Sums are taken
+    over ranges of references first and inside each range then, so neither all
+    blobs nor an archive have to meet in one task.
     """
-    import pandas as pd
-
-    def run(parts):
-        total, number = 0, 0
-        for pdf in parts:
-            out = []
-            for size in pdf["size"]:
-                out.append(number)
-                total += size
-                if total >= min_bytes:
-                    total, number = 0, number + 1
-            yield pd.DataFrame({"ref": pdf["ref"], "size": pdf["size"], "archive": out})
-
-    ranged = blobs.select("ref", "size").repartitionByRange(shards, "ref").sortWithinPartitions("ref")
-    return ranged.mapInPandas(run, "ref string, size bigint, archive int").withColumn("archive", F.concat_ws("-", F.spark_partition_id(), "archive"))
+    ranged = cut(blobs.select("ref", "size").repartitionByRange("ref").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["bytes"]) for r in ranged.groupBy("part").agg(F.sum("size").alias("bytes")).collect())  # a row a range
+    starts, total = [], 0
+    for part, size in sums:
+        starts.append((part, total))
+        total += size
+    begin = blobs.sparkSession.createDataFrame(starts, "part int, begin bigint")
+    before = Window.partitionBy("part").orderBy("ref").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.join(F.broadcast(begin), "part").withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return rows.select("ref", "size", F.floor(F.col("at") / min_bytes).cast("bigint").alias("archive"))

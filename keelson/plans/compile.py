@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import scalar as S
-from keelson.model import TIME_ATTRS_AFTER_FILE, TIME_ATTRS_BEFORE_FILE, VENUE, Store
+from keelson.model import PLACE_OF, TIME_ATTRS_AFTER_FILE, TIME_ATTRS_BEFORE_FILE, VENUE, Store
 from keelson.operators import geo, replay
 from keelson.runtime import cut
 
@@ -56,13 +56,14 @@ class Derived:
     @cached_property
     def content_times(self) -> DataFrame:
         """(permanode, content_time): the first readable one of certain attributes and the file's times."""
-        names = [*TIME_ATTRS_BEFORE_FILE, *TIME_ATTRS_AFTER_FILE, "camliContent"]
+        names = [*TIME_ATTRS_BEFORE_FILE, *TIME_ATTRS_AFTER_FILE]
         first = self.held(None, F.col("attr").isin(names), owner=False).groupBy("permanode", "attr").agg(F.min_by("value", replay.place()).alias("value"))
         row = first.groupBy("permanode").agg(*(F.max(F.when(F.col("attr") == n, F.col("value"))).alias(n) for n in names))
-        files = self.store.files.select(F.col("file_ref").alias("camliContent"), F.col("time").alias("f_time"), F.col("mod_time").alias("f_mod"))
+        files = self.store.files.select(F.col("file_ref").alias("value"), F.col("time").alias("f_time"), F.col("mod_time").alias("f_mod"))
+        content = replay.contents(self.store.claims).join(files, "value").select("permanode", "f_time", "f_mod")
         before = [S.parsed_time(F.col(n)) for n in TIME_ATTRS_BEFORE_FILE]
         after = [S.parsed_time(F.col(n)) for n in TIME_ATTRS_AFTER_FILE]
-        return row.join(files, "camliContent", "left").select("permanode", F.coalesce(*before, "f_time", *after, "f_mod").alias("content_time"))
+        return row.join(content, "permanode", "full").select("permanode", F.coalesce(*before, "f_time", *after, "f_mod").alias("content_time"))
 
     @property
     def times(self) -> DataFrame:
@@ -76,11 +77,15 @@ class Derived:
     @property
     def places(self) -> DataFrame:
         """(ref, lat, long) of objects with a place."""
-        return self.store.once("places", lambda: cut(self._places()))
+        return self.places_at(None)
 
-    def _places(self) -> DataFrame:
-        names = ("latitude", "longitude", "foursquareVenuePermanode", "camliContent")
-        first = self.held(None, F.col("attr").isin(*names)).groupBy("permanode", "attr").agg(F.min_by("value", replay.place()).alias("value"))
+    def places_at(self, at: datetime | None) -> DataFrame:
+        """(ref, lat, long) as of a time."""
+        return self.store.once("places" if at is None else f"places at {at.isoformat()}", lambda: cut(self._places(at)))
+
+    def _places(self, at: datetime | None) -> DataFrame:
+        names = ("latitude", "longitude", "camliContent", "camliNodeType", *PLACE_OF.values())
+        first = self.held(at, F.col("attr").isin(*names)).groupBy("permanode", "attr").agg(F.min_by("value", replay.place()).alias("value"))
         return geo.object_places(first, self.store.files, self.store.exif_gps)
 
 
@@ -171,8 +176,9 @@ class Compiled:
         if "relation" in c:
             out &= self.relation(c["relation"], at)
         if "location" in c:
-            self.need("places", self.d.places)
-            out &= geo.in_rectangle(F.col("lat"), F.col("long"), c["location"])
+            lat, long = ("lat", "long") if at is None else (f"lat at {at.isoformat()}", f"long at {at.isoformat()}")
+            self.need(lat, self.d.places_at(at).select("ref", F.col("lat").alias(lat), F.col("long").alias(long)))
+            out &= geo.in_rectangle(F.col(f"`{lat}`"), F.col(f"`{long}`"), c["location"])
         return out
 
     def leaf(self, at: datetime | None, attr: str, aggregate: Column) -> Column:

@@ -14,7 +14,7 @@ from keelson.operators import geo, replay
 from keelson.plans import constraints as K
 from keelson.plans.compile import Compiled, Derived
 from keelson.plans.expressions import Keywords, default_keywords, parse
-from keelson.runtime import QueryError
+from keelson.runtime import QueryError, cut
 
 DEFAULT_LIMIT = 200
 
@@ -134,6 +134,7 @@ class Search:
         Two bounded top-k selections around the row's sort key; no row numbers
         over all matches.
         """
+        found = cut(found)
         hit = found.where(F.col("ref") == plan.around).first()
         if hit is None:
             return found.limit(0)
@@ -154,6 +155,7 @@ class Search:
 
     def spread(self, found: DataFrame, limit: int) -> DataFrame:
         """All matches if they are few; else those with a place, spread over the map."""
+        found = cut(found)
         if limit <= 0 or found.limit(limit + 1).count() <= limit:
             return found.orderBy("ref")
         placed = found.join(self.derived.places, "ref").select("ref", "time", "lat", "long")

@@ -52,17 +52,23 @@ DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "firsts": (("held",), f"firsts AS ({_first('held')})"),
     "firstsall": (("heldall",), f"firstsall AS ({_first('heldall')})"),
     "mods": (("live",), "mods AS (SELECT permanode, max(date) AS mod FROM live GROUP BY permanode)"),
+    "content": (
+        ("claims",),
+        f"content AS (SELECT a.permanode, a.value, a.date FROM claims a WHERE a.attr = 'camliContent' AND a.ctype = 'set-attribute' AND regexp_full_match(a.value, '[a-z0-9]+-[0-9a-f]+') AND NOT EXISTS (SELECT 1 FROM claims b WHERE b.permanode = a.permanode AND b.attr = 'camliContent' AND b.ctype IN ('set-attribute', 'del-attribute') AND {_AFTER}))",
+    ),
     "times": (
-        ("mods", "firstsall", "files"),
-        "row1 AS (SELECT permanode, max(CASE WHEN attr = 'startDate' THEN TRY_CAST(value AS TIMESTAMP) END) AS sd, max(CASE WHEN attr = 'camliContent' THEN value END) AS cc FROM firstsall GROUP BY permanode), "
-        "ct AS (SELECT r.permanode, coalesce(r.sd, f.time, f.mod_time) AS t FROM row1 r LEFT JOIN files f ON f.file_ref = r.cc), "
+        ("mods", "firstsall", "files", "content"),
+        "row1 AS (SELECT permanode, max(CASE WHEN attr = 'startDate' THEN TRY_CAST(value AS TIMESTAMP) END) AS sd FROM firstsall GROUP BY permanode), "
+        "ct AS (SELECT coalesce(r.permanode, c.permanode) AS permanode, coalesce(r.sd, f.time, f.mod_time) AS t FROM row1 r FULL JOIN content c ON c.permanode = r.permanode LEFT JOIN files f ON f.file_ref = c.value), "
         "times AS (SELECT coalesce(m.permanode, ct.permanode) AS ref, m.mod, coalesce(ct.t, m.mod) AS any_time FROM mods m FULL JOIN ct ON ct.permanode = m.permanode)",
     ),
     "objects": (("blob_meta", "firsts"), "objects AS (SELECT ref FROM blob_meta WHERE camli_type = 'permanode' AND ref NOT IN (SELECT permanode FROM firsts WHERE (attr = 'camliDefVis' AND value = 'hide') OR (attr = 'camliNodeType' AND value = 'foursquare.com:venue')))"),
     "places": (
         ("firsts", "files", "exif_gps"),
-        "pl AS (SELECT permanode, max(CASE WHEN attr = 'latitude' THEN TRY_CAST(value AS DOUBLE) END) AS la, max(CASE WHEN attr = 'longitude' THEN TRY_CAST(value AS DOUBLE) END) AS lo, max(CASE WHEN attr = 'camliContent' THEN value END) AS cc FROM firsts GROUP BY permanode), "
-        "places AS (SELECT permanode AS ref, coalesce(la, g.lat) AS lat, coalesce(lo, g.long) AS long FROM pl LEFT JOIN files f ON f.file_ref = pl.cc LEFT JOIN exif_gps g ON g.whole_ref = f.whole_ref WHERE coalesce(la, g.lat) IS NOT NULL)",
+        "pl AS (SELECT permanode, " + ", ".join(f"max(CASE WHEN attr = '{a}' THEN value END) AS {n}" for a, n in (("latitude", "la"), ("longitude", "lo"), ("camliContent", "cc"), ("camliNodeType", "nt"), ("foursquareVenuePermanode", "vp"))) + " FROM firsts GROUP BY permanode), "
+        "ph AS (SELECT f.file_ref, g.lat, g.long FROM files f JOIN exif_gps g ON g.whole_ref = f.whole_ref), "
+        "alone AS (SELECT pl.*, la IS NOT NULL AND lo IS NOT NULL AS own, CASE WHEN la IS NOT NULL AND lo IS NOT NULL THEN TRY_CAST(la AS DOUBLE) ELSE ph.lat END AS lat, CASE WHEN la IS NOT NULL AND lo IS NOT NULL THEN TRY_CAST(lo AS DOUBLE) ELSE ph.long END AS long FROM pl LEFT JOIN ph ON ph.file_ref = pl.cc), "
+        "places AS (SELECT a.permanode AS ref, CASE WHEN NOT a.own AND b.lat IS NOT NULL THEN b.lat ELSE a.lat END AS lat, CASE WHEN NOT a.own AND b.lat IS NOT NULL THEN b.long ELSE a.long END AS long FROM alone a LEFT JOIN alone b ON b.permanode = a.vp AND a.nt = 'foursquare.com:checkin' WHERE a.lat IS NOT NULL OR (NOT a.own AND b.lat IS NOT NULL))",
     ),
     "contents": (("held", "files", "images"), "contents AS (SELECT DISTINCT h.permanode AS ref, f.*, i.width, i.height FROM held h JOIN files f ON f.file_ref = h.value LEFT JOIN images i ON i.file_ref = f.file_ref WHERE h.attr = 'camliContent')"),
 }
@@ -148,7 +154,15 @@ on_store(
     with_("ownlive") + f", h AS ({_held('ownlive')}), f AS (SELECT permanode, attr, value, min(date) AS date, first(claim_ref ORDER BY date, claim_ref) AS claim_ref FROM h WHERE value <> '' GROUP BY 1, 2, 3) " + _lists("f"),
 )
 on_store("permanode_modtime_agg_07", lambda s: replay.modtimes(s.claims, dead_of(s)).select("permanode", micros("mod")), with_("mods") + "SELECT permanode, epoch_us(mod) AS mod FROM mods")
-on_store("describe_modtime_agg_08", lambda s: describe.described_modtimes(s, dead_of(s)).select("permanode", micros("mod")))
+on_store(
+    "describe_modtime_agg_08",
+    lambda s: describe.described_modtimes(s, dead_of(s)).select("permanode", micros("mod")),
+    with_("ownlive") + ", k AS (SELECT * FROM ownlive WHERE ctype IN ('set-attribute', 'add-attribute', 'del-attribute')), "
+    "e AS (SELECT c.claim_ref AS c, a.claim_ref AS a, a.date AS ad FROM k c JOIN k a ON a.permanode = c.permanode AND a.attr = c.attr AND a.value = c.value AND a.ctype <> 'del-attribute' AND (a.date < c.date OR (a.date = c.date AND a.claim_ref < c.claim_ref)) WHERE c.ctype = 'add-attribute'), "
+    "lost AS (SELECT DISTINCT e.c, e.a FROM e JOIN k c ON c.claim_ref = e.c JOIN k r ON r.permanode = c.permanode AND r.attr = c.attr AND (r.date > e.ad OR (r.date = e.ad AND r.claim_ref > e.a)) AND (r.date < c.date OR (r.date = c.date AND r.claim_ref < c.claim_ref)) WHERE r.ctype = 'set-attribute' OR (r.ctype = 'del-attribute' AND (r.value = '' OR r.value = c.value))), "
+    "had AS (SELECT DISTINCT c FROM (SELECT c, a FROM e EXCEPT SELECT c, a FROM lost)) "
+    "SELECT permanode, epoch_us(max(date)) AS mod FROM k WHERE ctype = 'del-attribute' OR (value <> '' AND (ctype = 'set-attribute' OR claim_ref NOT IN (SELECT c FROM had))) GROUP BY 1",
+)
 on_store("permanode_any_time_time_02_time_03", lambda s: Derived(s).times.select("ref", micros("mod"), micros("any_time")), with_("times") + "SELECT ref, epoch_us(mod) AS mod, epoch_us(any_time) AS any_time FROM times")
 on_store("is_deleted_time_05_join_10", dead_of, with_("dead") + "SELECT ref FROM dead")
 on_store("undeleted_time_06", lambda s: s.deletions.select(F.col("target").alias("ref")).distinct().join(dead_of(s), "ref", "left_anti"), with_("dead") + "SELECT DISTINCT target AS ref FROM deletions WHERE target NOT IN (SELECT ref FROM dead)")
@@ -278,7 +292,8 @@ for _slug, _text, _cond in (
     ("negation_groups_expr_06_expr_07", "-(tag:t1 or tag:t2) is:image", "NOT " + _HAS.format("tag", "value IN ('t1', 't2')") + " AND " + _CONTENT.format("mime LIKE 'image/%'")),
 ):
     found(f"expr_{_slug}", None, _KEYWORD + _cond, expression=_text)
-query("keyword_help_kw_27")(lambda spark, sf_dir: spark.createDataFrame(default_keywords(named=str).descriptions(), "name string, description string"))
+_WORDS = "after attr before childrenof filename format has:location height is:checkin is:image is:landscape is:like is:pano is:portrait is:post is:untagged loc locrect named parentof ref tag title width with"
+query("keyword_help_kw_27", "SELECT unnest(string_split('" + _WORDS + "', ' ')) AS name, true AS described")(lambda spark, sf_dir: spark.createDataFrame(default_keywords(named=str).descriptions(), "name string, description string").select("name", (F.length("description") > 10).alias("described")))
 
 # order and pages
 
@@ -317,21 +332,21 @@ on_store("path_at_time_win_03", lambda s: lookup.paths_at(s, dead_of(s), datetim
 on_store("edges_to_join_12", lambda s: lookup.edges_to(s, dead_of(s)), with_("live", "dead") + "SELECT DISTINCT value AS child, permanode AS parent, attr AS name FROM live WHERE attr = 'camliMember' AND ctype <> 'del-attribute' AND permanode NOT IN (SELECT ref FROM dead)")
 on_store("edges_to_verified_join_13_ep_09", lambda s: lookup.edges_to(s, dead_of(s), verified=True), with_("heldall") + "SELECT DISTINCT value AS child, permanode AS parent, attr AS name FROM heldall WHERE attr = 'camliMember'")
 on_store("media_tags_join_09", lambda s: lookup.media_tags(s).select("file_ref", F.size("tags").alias("n"), F.col("tags")["title"].alias("title")), with_("files", "media_tags") + "SELECT f.file_ref, CAST(count(*) AS INT) AS n, max(CASE WHEN tag = 'title' THEN value END) AS title FROM files f JOIN media_tags m ON m.whole_ref = f.whole_ref GROUP BY 1")
-on_store("content_claim_win_07", lambda s: s.claims.where("attr = 'camliContent'").groupBy("permanode").agg(F.max_by("value", replay.place()).alias("value")), with_("claims") + "SELECT permanode, last(value ORDER BY date, claim_ref) AS value FROM claims WHERE attr = 'camliContent' GROUP BY 1")
+on_store("content_claim_win_07", lambda s: replay.contents(s.claims).select("permanode", "value", micros("date")), with_("content") + "SELECT permanode, value, epoch_us(date) AS date FROM content")
 
 # describe
 
 on_store("describe_records_desc_01_desc_06", lambda s: describe.records(s, s.blob_meta.where("ref like 'item-%'"), dead_of(s)).select("ref", "size", describe.title(F.col("attrs"), F.lit("")).alias("title"), micros("mod"), describe.is_container(F.col("attrs")).alias("container")), with_("ownlive", "blob_meta") + "SELECT b.ref, b.size, t.value AS title, epoch_us(t.date) AS mod, false AS container FROM blob_meta b JOIN ownlive t ON t.permanode = b.ref AND t.attr = 'title' WHERE b.ref LIKE 'item-%'")
 on_store("describe_container_desc_07", lambda s: describe.records(s, s.blob_meta.where("ref like 'place-%'"), dead_of(s)).where(describe.is_container(F.col("attrs"))).select("ref"), with_("held") + "SELECT DISTINCT permanode AS ref FROM held WHERE attr = 'camliMember'")
-on_store("describe_depth2_desc_02", lambda s: describe.reach(s, s.blob_meta.where("ref like 'place-0000000%'"), 2, dead_of(s)), with_("held", "blob_meta") + ", r AS (SELECT ref FROM blob_meta WHERE ref LIKE 'place-0000000%'), n AS (SELECT DISTINCT value AS ref FROM held JOIN r ON r.ref = held.permanode WHERE attr = 'camliMember') SELECT ref, CAST(2 AS INT) AS depth FROM r UNION ALL SELECT ref, CAST(1 AS INT) FROM n")
-on_store("describe_rules_desc_03_desc_04", lambda s: describe.by_rules(s, s.blob_meta.where("ref like 'place-0000000%'"), (describe.Rule(("camliMember",), if_result_root=True, rules=(describe.Rule(("cust*",)),)),), dead_of(s)), with_("held", "blob_meta") + ", r AS (SELECT ref FROM blob_meta WHERE ref LIKE 'place-0000000%') SELECT ref FROM r UNION SELECT value AS ref FROM held WHERE attr = 'camliMember' AND permanode IN (SELECT ref FROM r)")
+on_store("describe_depth2_desc_02", lambda s: describe.reach(s, s.blob_meta.where("ref like 'place-%'"), 2, dead_of(s)), with_("held", "blob_meta") + ", r AS (SELECT ref FROM blob_meta WHERE ref LIKE 'place-%'), n AS (SELECT DISTINCT value AS ref FROM held JOIN r ON r.ref = held.permanode WHERE attr = 'camliMember') SELECT ref, CAST(2 AS INT) AS depth FROM r UNION ALL SELECT ref, CAST(1 AS INT) FROM n")
+on_store("describe_rules_desc_03_desc_04", lambda s: describe.by_rules(s, s.blob_meta.where("ref like 'place-%'"), (describe.Rule(("camliMember",), if_result_root=True, rules=(describe.Rule(("cust*",)),)),), dead_of(s)), with_("held", "blob_meta") + ", r AS (SELECT ref FROM blob_meta WHERE ref LIKE 'place-%') SELECT ref FROM r UNION SELECT value AS ref FROM held WHERE attr = 'camliMember' AND permanode IN (SELECT ref FROM r)")
 on_store("describe_members_desc_05", lambda s: describe.members(s.dir_children), with_("dir_children") + ", r AS (SELECT *, row_number() OVER (PARTITION BY dir_ref ORDER BY child_ref) AS n FROM (SELECT DISTINCT * FROM dir_children)) SELECT dir_ref, child_ref FROM r WHERE n <= 50")
 
 # set operations between two stores made of line items
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey").cast("string")
     key = F.when(F.length(key) < 8, F.lpad(key, 8, "0")).otherwise(key)  # lpad alone cuts longer keys
     ref = F.concat(F.lit("line-"), key, F.col("l_linenumber").cast("string"))
@@ -341,9 +356,9 @@ def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return one.groupBy("ref").agg(F.max("size").alias("size")), two.groupBy("ref").agg(F.max("size").alias("size"))
 
 
-_L = "'line-' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || CAST(l_linenumber AS VARCHAR)"
+_L = "'line-' || lpad(CAST(l_orderkey AS VARCHAR), greatest(8, length(CAST(l_orderkey AS VARCHAR)))::INT, '0') || CAST(l_linenumber AS VARCHAR)"
 _Z = "CAST(floor(l_extendedprice) AS BIGINT)"
-_TWO = f"WITH one AS (SELECT {_L} AS ref, max({_Z}) AS size FROM lineitem WHERE l_linenumber <= 2 AND l_returnflag <> 'R' GROUP BY 1), two AS (SELECT {_L} AS ref, max({_Z} + CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS size FROM lineitem WHERE l_linenumber <= 2 AND (l_linestatus = 'O' OR l_returnflag = 'R') GROUP BY 1) "
+_TWO = f"WITH one AS (SELECT {_L} AS ref, max({_Z}) AS size FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), two AS (SELECT {_L} AS ref, max({_Z} + CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS size FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'R' GROUP BY 1) "
 _UNION = "SELECT ref, size FROM one UNION ALL SELECT ref, size FROM two WHERE ref NOT IN (SELECT ref FROM one)"
 
 
@@ -361,7 +376,7 @@ on_two("set_concat_set_07", lambda a, b: a.unionAll(b), "SELECT ref, size FROM o
 on_two("set_validation_set_10", sets.validation, "SELECT coalesce(one.ref, two.ref) AS ref, CASE WHEN two.ref IS NULL THEN 'missing' WHEN one.ref IS NULL THEN 'extra' ELSE 'size' END AS problem FROM one FULL JOIN two ON one.ref = two.ref WHERE one.ref IS NULL OR two.ref IS NULL OR one.size <> two.size")
 on_two("store_totals_sto_24_agg_17", lambda a, b: sets.totals(a), "SELECT count(*) AS blobs, CAST(sum(size) AS BIGINT) AS bytes FROM one")
 on_two("store_route_sto_10", lambda a, b: sets.totals(sets.route(a, F.col("size") % 2 == 0)[0]), "SELECT count(*) AS blobs, CAST(sum(size) AS BIGINT) AS bytes FROM one WHERE size % 2 = 0")
-on_two("archives_sto_23_win_08", lambda a, b: sets.archives(a, 1_000_000).groupBy("archive").agg(F.min("ref").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")))
+on_two("archives_sto_23_win_08", lambda a, b: sets.archives(a, 1_000_000).groupBy("archive").agg(F.min("ref").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT archive, min(ref) AS first, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT ref, size, CAST(floor((sum(size) OVER (ORDER BY ref) - size) / 1000000) AS BIGINT) AS archive FROM one) GROUP BY 1")
 on_store(
     "attribute_changes_set_09",
     lambda s: sets.attribute_changes(replay.held_values(own(s)).where("attr = 'tag'"), s.claims.where("attr = 'tag' and ctype = 'add-attribute'").select("permanode", "attr", "value")),
@@ -395,8 +410,19 @@ def _claim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("ingest_claims_src_01_src_02", with_("claims") + "SELECT claim_ref, permanode, signer, epoch_us(date) AS date, ctype, attr, value FROM claims WHERE claim_ref LIKE 'claim-%'")(lambda spark, sf_dir: ingest.claims(ingest.sniff(_claim_documents(spark, sf_dir))).select("claim_ref", "permanode", "signer", micros("date"), "ctype", "attr", "value"))
 query("ingest_sniff_src_01", "SELECT page_id, CASE WHEN substr(html, 1, 1) = '{' THEN 'claim' ELSE '' END AS camli_type FROM pages")(lambda spark, sf_dir: ingest.sniff(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("ref"), F.col("html").cast("binary").alias("data"))).select(F.col("ref").cast("bigint").alias("page_id"), "camli_type"))
-query("ingest_chunks_src_10")(lambda spark, sf_dir: ingest.chunks(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("ref"), F.col("text").cast("binary").alias("data"))))
+query(
+    "ingest_chunks_src_10",
+    """WITH RECURSIVE d AS (SELECT 'doc-' || doc_id AS ref, hex(encode(text)) AS h, CAST(length(hex(encode(text))) // 2 AS BIGINT) AS n FROM documents),
+b AS (SELECT ref, i, CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT) + 31 AS x FROM (SELECT ref, h, unnest(range(0, n)) AS i FROM d WHERE n > 65536)),
+one AS (SELECT ref, i, sum(x) OVER (PARTITION BY ref ORDER BY i ROWS 63 PRECEDING) AS s1 FROM b),
+two AS (SELECT ref, i, CAST(sum(s1) OVER (PARTITION BY ref ORDER BY i ROWS 63 PRECEDING) AS BIGINT) AS s2 FROM one),
+spot AS (SELECT ref, list(i + 1 ORDER BY i) AS l FROM two WHERE s2 % 8192 = 8191 GROUP BY ref),
+e AS (SELECT d.ref, n, coalesce(l, []) AS l FROM d LEFT JOIN spot ON spot.ref = d.ref WHERE n > 0),
+w AS (SELECT ref, n, l, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 65536 THEN n ELSE least(n, 1048576, coalesce(list_filter(l, lambda p: p >= 262144)[1], n)) END AS z FROM e
+  UNION ALL SELECT ref, n, l, pos + 1, z, least(n, z + 1048576, coalesce(list_filter(l, lambda p: p >= z + 65536)[1], n)) FROM w WHERE z < n)
+SELECT w.ref, CAST(pos AS INT) AS pos, a AS "offset", z - a AS size, 'sha256-' || sha256(unhex(substr(h, CAST(2 * a + 1 AS INT), CAST(2 * (z - a) AS INT)))) AS chunk_ref FROM w JOIN d ON d.ref = w.ref""",
+)(lambda spark, sf_dir: ingest.chunks(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("ref"), F.col("text").cast("binary").alias("data")), "sha256"))
 on_store("ingest_file_times_src_04_agg_15", lambda s: s.files.select("file_ref", ingest.file_times(F.array("mod_time", "time", F.lit("1980-01-01 00:00:00").cast("timestamp"))).alias("t")).select("file_ref", micros("t.time", "time"), micros("t.mod_time", "mod_time")), with_("files") + "SELECT file_ref, epoch_us(least(time, mod_time)) AS time, epoch_us(CASE WHEN time <> mod_time THEN greatest(time, mod_time) END) AS mod_time FROM files")
 on_store("ingest_gps_src_06", lambda s: ingest.gps(s.exif_gps.select("whole_ref", (F.col("lat") * 2).alias("lat"), "long")), with_("exif_gps") + "SELECT whole_ref, round(lat * 2, 7) AS lat, round(long, 7) AS long FROM exif_gps WHERE abs(lat * 2) <= 90")
-on_store("vivify_src_12", lambda s: ingest.vivify(s.files.where("mime = 'text/html'"), "signer-00", F.col("time")).select("claim_ref", "permanode", "value"))
+on_store("vivify_src_12", lambda s: ingest.vivify(s.files.where("mime = 'text/html'"), "signer-00", F.col("time"), "sha256").select("claim_ref", "permanode", "value"), with_("files") + "SELECT 'sha256-' || sha256('claim:' || file_ref) AS claim_ref, 'sha256-' || sha256('permanode:' || file_ref) AS permanode, file_ref AS value FROM files WHERE mime = 'text/html'")
 on_store("stream_replay_str_03_str_04", lambda s: _joined(live.replay_as_stream(s.spark, s.claims)), with_("heldall") + _lists("heldall"))

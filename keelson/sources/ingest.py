@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import scalar as S
@@ -94,13 +94,46 @@ def file_chunks(sniffed: DataFrame) -> DataFrame:
             return done
 
 
-def file_bytes(chunks: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(file_ref, data) of whole files: parts cut out of their blobs, zeros where none is named."""
-    rows = chunks.join(blobs.select(F.col("ref").alias("blob_ref"), "data"), "blob_ref", "left")
-    zeros = F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int")))
-    piece = F.when(F.col("blob_ref").isNull(), zeros).otherwise(F.expr("substring(data, cast(offset + 1 as int), cast(size as int))"))
-    rows = rows.groupBy("file_ref").agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("piece")))).alias("l"))
-    return rows.select("file_ref", F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("data"))
+def file_sizes(sniffed: DataFrame) -> DataFrame:
+    """(ref, size): sum of the sizes of the parts that a file or bytes document names."""
+    size = F.aggregate("doc.parts", F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(p["size"], F.lit(0)))
+    return sniffed.where("camli_type in ('file', 'bytes')").select("ref", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
+
+
+def file_pieces(chunks: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(file_ref, start, size, data) of files: what is cut out of blobs, by its place in the file.
+
+    Places are sums over the parts' sizes, without the data. Data is null where no
+    blob is named, which stands for zeros. No file has to fit into a row.
+    """
+    before = Window.partitionBy("file_ref").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunks.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    rows = placed.join(blobs.select(F.col("ref").alias("blob_ref"), "data"), "blob_ref", "left")
+    return rows.select("file_ref", "start", "size", F.expr("substring(data, cast(offset + 1 as int), cast(size as int))").alias("data"))
+
+
+def whole_refs(pieces: DataFrame, digest: str = "sha224") -> DataFrame:
+    """(file_ref, size, whole_ref): digests of whole files, one piece after the other."""
+    import hashlib
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, size, state = None, 0, None
+        for pdf in parts:
+            done = []
+            for ref, n, data in zip(pdf["file_ref"], pdf["size"], pdf["data"], strict=True):
+                if ref != name:
+                    if state is not None:
+                        done.append((name, size, f"{digest}-{state.hexdigest()}"))
+                    name, size, state = ref, 0, hashlib.new(digest)
+                size += n
+                for at in range(0, n, MAX_CHUNK):
+                    state.update(bytes(min(MAX_CHUNK, n - at)) if data is None else data[at : at + MAX_CHUNK])
+            yield pd.DataFrame(done, columns=["file_ref", "size", "whole_ref"])
+        if state is not None:
+            yield pd.DataFrame([(name, size, f"{digest}-{state.hexdigest()}")], columns=["file_ref", "size", "whole_ref"])
+
+    ordered = pieces.repartition("file_ref").sortWithinPartitions("file_ref", "start")
+    return ordered.mapInPandas(run, "file_ref string, size bigint, whole_ref string")
 
 
 def missing_parts(sniffed: DataFrame) -> DataFrame:
@@ -160,7 +193,7 @@ def chunk_bounds(data: bytes, bits: int = 13) -> list[int]:
     return out
 
 
-def chunks(files: DataFrame) -> DataFrame:
+def chunks(files: DataFrame, digest: str = "sha224") -> DataFrame:
     """(ref, pos, offset, size, chunk_ref) of files (ref, data)."""
     import hashlib
 
@@ -170,15 +203,15 @@ def chunks(files: DataFrame) -> DataFrame:
             for ref, data in zip(pdf["ref"], pdf["data"], strict=True):
                 at = 0
                 for pos, end in enumerate(chunk_bounds(bytes(data))):
-                    rows.append((ref, pos, at, end - at, "sha224-" + hashlib.sha224(data[at:end]).hexdigest()))
+                    rows.append((ref, pos, at, end - at, f"{digest}-{hashlib.new(digest, data[at:end]).hexdigest()}"))
                     at = end
             yield pd.DataFrame(rows, columns=["ref", "pos", "offset", "size", "chunk_ref"])
 
     return files.select("ref", "data").mapInPandas(run, "ref string, pos int, offset bigint, size bigint, chunk_ref string")
 
 
-def vivify(files: DataFrame, signer: str, date: Column) -> DataFrame:
+def vivify(files: DataFrame, signer: str, date: Column, digest: str = "sha224") -> DataFrame:
     """Claims that give each file an object with its content."""
-    permanode = S.ref_of(F.concat(F.lit("permanode:"), F.col("file_ref")).cast("binary"))
-    claim = S.ref_of(F.concat(F.lit("claim:"), F.col("file_ref")).cast("binary"))
+    permanode = S.ref_of(F.concat(F.lit("permanode:"), F.col("file_ref")).cast("binary"), digest)
+    claim = S.ref_of(F.concat(F.lit("claim:"), F.col("file_ref")).cast("binary"), digest)
     return files.select(claim.alias("claim_ref"), permanode.alias("permanode"), F.lit(signer).alias("signer"), date.alias("date"), F.lit("set-attribute").alias("ctype"), F.lit("camliContent").alias("attr"), F.col("file_ref").alias("value"))

@@ -24,6 +24,11 @@ _VALUE_DATE = "CAST('2020-01-01 00:00:00' AS TIMESTAMP)"
 _DATED = f"{_VALUE_DATE} + INTERVAL '1' SECOND"
 
 
+def _content(n: int, ctype: str, value: str) -> str:
+    """A claim on the content of an order, some seconds after its other claims."""
+    return f"'claimcontent-' || lpad(CAST(o_orderkey AS STRING), 8, '0') || '{n:02d}' AS claim_ref; {_ref('order', 'o_orderkey')} AS permanode; 'signer-00' AS signer; {_VALUE_DATE} + INTERVAL '{1 + n}' SECOND AS date; '{ctype}' AS ctype; 'camliContent' AS attr; {value} AS value"
+
+
 def _set(kind: str, key: str, attr: str, value: str, n: int) -> str:
     """A claim that sets an attribute of an object that stands for a row of a table."""
     return f"'claim{kind}-' || lpad(CAST({key} AS STRING), 8, '0') || '{n:02d}' AS claim_ref; {_ref(kind, key)} AS permanode; 'signer-00' AS signer; {_VALUE_DATE} AS date; 'set-attribute' AS ctype; '{attr}' AS attr; {value} AS value"
@@ -63,6 +68,12 @@ PROJECTION: dict[str, list[tuple[str, str, str]]] = {
         ("part", _set("item", "p_partkey", "with", _ref("order", "p_partkey"), 5), "p_partkey % 3 = 0"),
         ("part", _set("item", "p_partkey", "camliDefVis", "CASE p_partkey % 2 WHEN 0 THEN 'hide' ELSE 'show' END", 6), "p_partkey % 9 = 0"),
         ("part", _set("item", "p_partkey", "note", "CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'plain-' || CAST(p_partkey AS STRING) ELSE 'naïve-' || CAST(p_partkey AS STRING) END", 7), "p_partkey % 2 = 0"),
+        ("orders", _content(1, "set-attribute", _ref("image", "1 + o_orderkey % 150")), "o_orderkey % 7 = 0"),
+        ("orders", _content(2, "add-attribute", _ref("page", "o_orderkey % 40")), "o_orderkey % 14 = 0"),
+        ("orders", _content(3, "del-attribute", "CASE o_orderkey % 2 WHEN 0 THEN 'nothing-00' ELSE '' END"), "o_orderkey % 21 = 0"),
+        ("orders", _content(4, "set-attribute", "CASE o_orderkey % 2 WHEN 0 THEN 'not a reference' ELSE 'image-00000007' END"), "o_orderkey % 42 <> 0 AND o_orderkey % 63 = 0 OR o_orderkey % 70 = 0"),
+        ("orders", _set("order", "o_orderkey", "foursquareVenuePermanode", _ref("place", "o_custkey"), 5), "o_orderkey % 4 <> 0"),
+        ("orders", _set("order", "o_orderkey", "camliNamedSearch", "'saved' || CAST(o_orderkey % 5 AS STRING)", 6), "o_orderkey % 49 = 0"),
         ("orders", f"'claimmember-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS claim_ref; {_ref('place', 'o_custkey')} AS permanode; 'signer-00' AS signer; {_DATED} AS date; 'add-attribute' AS ctype; 'camliMember' AS attr; {_ref('order', 'o_orderkey')} AS value", "true"),
     ],
     "deletions": [("events", f"{_ref('claim', _TARGET, 10)} AS target; {_ref('claim', 'event_id', 10)} AS deleter", "event_id > 0 AND event_id % 11 = 0")],

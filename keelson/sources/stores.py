@@ -59,9 +59,20 @@ def write_packed(blobs: DataFrame, path: str) -> None:
 
 
 def compact(blobs: DataFrame, chunks: DataFrame, path: str) -> None:
-    """Rewrite blobs so that the chunks of one file lie together: chunks has (whole_ref, blob_ref, pos)."""
+    """Rewrite blobs so that the chunks of one file lie together: chunks has (whole_ref, blob_ref, pos).
+
+    Ranges of (whole_ref, pos) keep the order, and a very large file spans several
+    of them. A manifest says which chunks a file has, with their sizes.
+    """
     rows = blobs.join(chunks.select(F.col("blob_ref").alias("ref"), "whole_ref", "pos"), "ref")
-    rows.repartition("whole_ref").sortWithinPartitions("whole_ref", "pos").write.mode("overwrite").parquet(path)
+    rows.repartitionByRange("whole_ref", "pos").sortWithinPartitions("whole_ref", "pos").write.mode("overwrite").parquet(f"{path}/data")
+    written = blobs.sparkSession.read.parquet(f"{path}/data").select("whole_ref", "pos", "ref", "size")
+    written.write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def removed(blobs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The store without some blobs."""
+    return blobs.join(refs.select("ref").distinct(), "ref", "left_anti")
 
 
 def encrypted(blobs: DataFrame, key: bytes) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -23,26 +25,38 @@ def claim_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 @dataclass
 class ClaimTable:
-    """Claims in a folder, written by batch, with the batch as a partition.
+    """Claims in a folder, written by batch, with the batch and a bucket of objects as partitions.
 
     Writing a batch again replaces it, so that a restarted stream adds nothing
     twice. Claims may come in any order: attributes are replayed from the table,
-    for touched objects only.
+    for touched objects only, of which just the buckets are read.
     """
 
     spark: SparkSession
     folder: str
     touched: Callable[[DataFrame, int], None] | None = None
+    buckets: int = 64
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS["claims"] + ", batch bigint, bucket int").parquet(self.folder)
 
     def claims(self) -> DataFrame:
-        rows = self.spark.read.schema(SCHEMAS["claims"] + ", batch bigint").parquet(self.folder)
-        return rows.dropDuplicates(["claim_ref"]).drop("batch")
+        """All claims, each once."""
+        return self.rows().dropDuplicates(["claim_ref"]).drop("batch", "bucket")
+
+    def claims_of(self, objects: DataFrame) -> DataFrame:
+        """The claims on some objects (permanode), each once."""
+        buckets = [r["bucket"] for r in objects.select(self._bucket().alias("bucket")).distinct().collect()]  # at most the number of buckets
+        rows = self.rows().where(F.col("bucket").isin(buckets)).join(objects.select("permanode").distinct(), "permanode", "left_semi")
+        return rows.dropDuplicates(["claim_ref"]).drop("batch", "bucket")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("permanode"), F.lit(self.buckets)).cast("int")
 
     def write(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        batch.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/batch={number}")
         if self.touched:
-            touched = batch.select("permanode").distinct()
-            self.touched(replay.attributes(self.claims().join(touched, "permanode", "left_semi")), number)
+            self.touched(replay.attributes(self.claims_of(batch.select("permanode"))), number)
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -96,6 +110,30 @@ class StandingQueries:
         return changed
 
 
+def arrivals(stream: DataFrame, checkpoint: str, hear: Callable[[DataFrame], None], refs: DataFrame | None = None) -> StreamingQuery:
+    """Tell a listener of the blobs (ref) of each batch, of all or of some references."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        got = rows.select("ref").distinct() if refs is None else rows.select("ref").distinct().join(refs.select("ref"), "ref", "left_semi")
+        if not got.isEmpty():
+            hear(got)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def wait_for_any(stream: DataFrame, checkpoint: str, refs: DataFrame | None, seconds: float) -> bool:
+    """Whether a blob (of some references) arrived before the time was up."""
+    heard = threading.Event()
+    query = arrivals(stream, checkpoint, lambda _: heard.set(), refs)
+    try:
+        end = time.monotonic() + seconds
+        while not heard.is_set() and time.monotonic() < end and query.isActive:
+            heard.wait(0.05)
+        return heard.is_set()
+    finally:
+        query.stop()
+
+
 def copy_queue(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Copy blobs to a target at least once; the file sink's log makes it once."""
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -26,7 +26,7 @@ def store(spark):
     claims = [claim(i, f"a-{i}", "tag", "even" if i % 2 == 0 else "odd") for i in range(1, 10)]
     claims += [claim(20, "a-1", "camliMember", "a-2", "add-attribute"), claim(21, "a-1", "camliMember", "a-3", "add-attribute"), claim(22, "a-4", "latitude", "1.0"), claim(23, "a-4", "longitude", "179.0"), claim(24, "a-5", "latitude", "x"), claim(25, "a-5", "longitude", "3")]
     claims += [claim(26, "a-6", "camliDefVis", "hide"), claim(27, "a-7", "tag", "other", signer="s-2"), claim(28, "a-8", "camliContent", "f-1")]
-    files = [("d-1", "grandparent"), ("d-2", "parent"), ("d-3", "other"), ("f-1", "grandchild1.txt"), ("f-2", "grandchild2.txt"), ("f-3", "other-file")]
+    files = [("d-1", "attic"), ("d-2", "chest"), ("d-3", "cellar"), ("f-1", "north.map"), ("f-2", "south.map"), ("f-3", "barrel")]
     meta = [(f"a-{i}", 10 + i, "permanode") for i in range(1, 10)] + [(r, 50, "directory" if r[0] == "d" else "file") for r, _ in files] + [("b-1", 7, "")]
     make = lambda name, rows: spark.createDataFrame(rows, SCHEMAS[name])
     return Store.of(
@@ -87,11 +87,11 @@ def test_around(store, limit, sort):
 
 
 def test_directories(store):
-    holds = {"dir": {"recursiveContains": {"file": {"fileName": {"contains": "grandchild1.txt"}}}}}
+    holds = {"dir": {"recursiveContains": {"file": {"fileName": {"contains": "north.map"}}}}}
     assert refs(store, {"constraint": holds}) == ["d-1", "d-2"]
     assert refs(store, {"constraint": {"dir": {"contains": {"blobRefPrefix": "f-1"}}}}) == ["d-2"]
-    assert refs(store, {"constraint": {"dir": holds["dir"] | {"fileName": {"equals": "grandparent"}}}}) == []
-    assert refs(store, {"constraint": {"file": {"parentDir": {"parentDir": {"fileName": {"equals": "grandparent"}}}}}}) == ["f-1", "f-2"]
+    assert refs(store, {"constraint": {"dir": holds["dir"] | {"fileName": {"equals": "attic"}}}}) == []
+    assert refs(store, {"constraint": {"file": {"parentDir": {"parentDir": {"fileName": {"equals": "attic"}}}}}}) == ["f-1", "f-2"]
     assert refs(store, {"constraint": {"dir": {"topFileCount": {"min": 2}}}}) == ["d-2"]
 
 

@@ -1,6 +1,8 @@
 """Set operations, stores, ingestion, streams, and the queries against their SQL."""
 
+import hashlib
 import json
+import random
 from datetime import UTC, datetime
 
 import duckdb
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from keelson import queries
 from keelson.model import SCHEMAS, Store
-from keelson.operators import replay, sets
+from keelson.operators import geo, replay, sets
 from keelson.sources import ingest, projection, stores
 from keelson.streaming import live
 
@@ -40,9 +42,14 @@ def test_line_keys_are_never_cut(spark, tmp_path):
     assert {tuple(r) for r in one.collect()} == {("line-1234567811", 5), ("line-1234567821", 7), ("line-000000071", 9)}
 
 
-def test_archives_close_at_the_minimum(spark):
-    rows = sets.archives(blobs(spark, *((f"x-{i}", 4) for i in range(6))), 8).collect()
-    assert [r["archive"] for r in sorted(rows)] == ["0-0", "0-0", "0-1", "0-1", "0-2", "0-2"]
+def test_archives_are_stretches_of_the_sum_of_sizes(spark):
+    rows = sets.archives(blobs(spark, *((f"x-{i}", 4) for i in range(6))).repartition(3), 8).collect()
+    assert [r["archive"] for r in sorted(rows)] == [0, 0, 1, 1, 2, 2]
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 50) for _ in range(500)]
+    rows = sorted(sets.archives(blobs(spark, *((f"x-{i:04d}", n) for i, n in enumerate(sizes))), 100).collect())
+    assert [r["archive"] for r in rows] == [sum(sizes[:i]) // 100 for i in range(500)]
+    assert sets.archives(blobs(spark, ("x-1", 1)).limit(0), 8).count() == 0
 
 
 def test_garbage_and_cycles(spark):
@@ -86,7 +93,10 @@ def test_ingestion(spark):
     assert kinds["p-1"][0] == "permanode" and kinds["b-2"] == ("", "image/jpeg") and kinds["x-1"][0] == ""
     assert [r["value"] for r in ingest.claims(s).collect()] == ["x"]
     assert [tuple(r) for r in ingest.deletions(s).collect()] == [("c-1", "c-2")]
-    assert {bytes(r["data"]) for r in ingest.file_bytes(ingest.file_chunks(s), raw).collect()} == {b"ell\0\0he\xff\xd8"}
+    pieces = ingest.file_pieces(ingest.file_chunks(s), raw)
+    assert sorted((r["start"], r["size"], r["data"] and bytes(r["data"])) for r in pieces.collect()) == [(0, 3, b"ell"), (3, 2, None), (5, 2, b"he"), (7, 2, b"\xff\xd8")]
+    assert [tuple(r) for r in ingest.whole_refs(pieces).collect()] == [("f-1", 9, "sha224-" + hashlib.sha224(b"ell\0\0he\xff\xd8").hexdigest())]
+    assert {r["ref"]: r["size"] for r in ingest.file_sizes(s).collect()} == {"f-1": 9, "y-1": 4}
     rows, children = ingest.directories(s)
     assert [(r["file_ref"], r["size"]) for r in rows.collect()] == [("d-1", 2)] and {r["child_ref"] for r in children.collect()} == {"f-1", "f-2"}
     assert ingest.missing_parts(s.where("ref <> 'b-2'")).collect()[0][:] == ("y-1", "b-2")
@@ -134,6 +144,56 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in rest.collect()] == [("f-1", "b-2")] and [r["ref"] for r in ready.collect()] == ["f-2"]
 
 
+def test_waiting_for_blobs(spark, tmp_path):
+    make = lambda *refs: spark.createDataFrame([(r,) for r in refs], "ref string").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("ref string").parquet(str(tmp_path / "in"))
+    make("b-1")
+    wanted = spark.createDataFrame([("b-9",)], "ref string")
+    assert not live.wait_for_any(stream(), str(tmp_path / "c1"), wanted, 3)
+    make("b-9", "b-8")
+    assert live.wait_for_any(stream(), str(tmp_path / "c1"), wanted, 60)
+    assert live.wait_for_any(stream(), str(tmp_path / "c2"), None, 60)
+
+
+def test_touched_objects_only(spark, tmp_path):
+    """A batch replays what it touches from all batches; a batch that comes again changes nothing."""
+    rows = lambda *c: spark.createDataFrame([(f"c-{n}", p, "s", datetime(2020, 1, n), "add-attribute", "tag", v) for n, p, v in c], SCHEMAS["claims"])
+    heard = []
+    t = live.ClaimTable(spark, str(tmp_path / "t"), lambda df, n: heard.append((n, sorted((r["permanode"], tuple(r["vals"])) for r in df.collect()))))
+    t.write(rows((1, "p-1", "a"), (3, "p-2", "b")), 0)
+    t.write(rows((2, "p-1", "z")), 1)
+    t.write(rows((2, "p-1", "z")), 1)
+    assert heard == [(0, [("p-1", ("a",)), ("p-2", ("b",))]), (1, [("p-1", ("a", "z"))]), (1, [("p-1", ("a", "z"))])]
+    assert t.claims().count() == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deletions_are_kept_up(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"x-{a}", f"x-{b}") for a, b in ((rng.randint(0, 30), rng.randint(0, 30)) for _ in range(40)) if a < b})
+    known, new = edges[::2], edges[1::2]
+    make = lambda rows: spark.createDataFrame(rows, SCHEMAS["deletions"])
+    got = replay.update_deleted(replay.deleted(make(known)), make(known), make(new))
+    assert {r["ref"] for r in got.collect()} == {r["ref"] for r in replay.deleted(make(edges)).collect()}
+
+
+def test_content_is_what_the_last_set_left(spark):
+    log = [("p-1", "set", "a-1"), ("p-1", "add", "a-2"), ("p-2", "set", "a-1"), ("p-2", "del", "a-9"), ("p-3", "add", "a-1"), ("p-4", "set", "a-1"), ("p-4", "set", "no reference"), ("p-5", "del", ""), ("p-5", "set", "a-5")]
+    claims = spark.createDataFrame([(f"c-{i}", p, "s", datetime(2020, 1, 1 + i), f"{op}-attribute", "camliContent", v) for i, (p, op, v) in enumerate(log)], SCHEMAS["claims"])
+    assert {(r["permanode"], r["value"]) for r in replay.contents(claims).collect()} == {("p-1", "a-1"), ("p-5", "a-5")}
+
+
+def test_places_by_reference(spark):
+    """Only objects of the type refer to a place, and what they refer to may have it from a photo, but not from a third object."""
+    first = lambda *rows: spark.createDataFrame(list(rows), "permanode string, attr string, value string")
+    visit = lambda p, to, kind="foursquare.com:checkin": [(p, "camliNodeType", kind), (p, "foursquareVenuePermanode", to)]
+    rows = first(("a-1", "latitude", "1"), ("a-1", "longitude", "2"), ("a-2", "camliContent", "f-2"), *visit("b-1", "a-1"), *visit("b-2", "a-2"), *visit("b-3", "b-1"), *visit("b-4", "a-1", "other"), *visit("b-5", "gone-1"), ("b-5", "camliContent", "f-2"), ("a-3", "latitude", "x"), ("a-3", "longitude", "2"), ("a-3", "camliContent", "f-2"), *visit("b-6", "a-3"))
+    files = spark.createDataFrame([("f-2", "w-2")], "file_ref string, whole_ref string")
+    gps = spark.createDataFrame([("w-2", 5.0, 6.0)], "whole_ref string, lat double, long double")
+    got = {r["ref"]: (r["lat"], r["long"]) for r in geo.object_places(rows, files, gps).collect()}
+    assert got == {"a-1": (1.0, 2.0), "a-2": (5.0, 6.0), "b-1": (1.0, 2.0), "b-2": (5.0, 6.0), "b-5": (5.0, 6.0)}
+
+
 def test_standing_queries(spark):
     make = lambda values: Store.of(spark, blob_meta=spark.createDataFrame([("a-1", 1, "permanode")], SCHEMAS["blob_meta"]), signers=spark.createDataFrame([("s", "ka")], SCHEMAS["signers"]), claims=spark.createDataFrame([(f"c-{i}", "a-1", "s", datetime(2020, 1, 1 + i), "set-attribute", "tag", v) for i, v in enumerate(values)], SCHEMAS["claims"]))
     heard = []
@@ -159,7 +219,7 @@ def _rows(frame):
     return sorted((tuple(plain(v) for v in row) for row in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)), key=repr)
 
 
-SAMPLE = ["attr_describe_dedup_agg_06", "permanode_any_time_time_02_time_03", "tag_newest", "logical_xor_pred_17", "dir_recursive_pred_51_join_07", "relation_all_join_03c", "page_around_sort_09_win_05", "map_spread_sort_10_sort_11_win_06", "gc_garbage_set_12", "set_validation_set_10", "expr_negation_groups_expr_06_expr_07", "describe_depth2_desc_02"]
+SAMPLE = ["attr_describe_dedup_agg_06", "permanode_any_time_time_02_time_03", "tag_newest", "logical_xor_pred_17", "dir_recursive_pred_51_join_07", "relation_all_join_03c", "page_around_sort_09_win_05", "map_spread_sort_10_sort_11_win_06", "gc_garbage_set_12", "set_validation_set_10", "expr_negation_groups_expr_06_expr_07", "describe_depth2_desc_02", "content_claim_win_07", "place_by_reference_join_17", "archives_sto_23_win_08", "stored_searches_ep_11_ext_02"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
