@@ -346,19 +346,22 @@ def send_surroundings(texts: DataFrame, shared: DataFrame, buckets: int) -> Data
             before = first[hot[first] & (left[first] >= BEFORE)]
             i = np.concatenate((whole, after, before))
             side = np.repeat(np.array([0, 1, 2], np.uint8), (len(whole), len(after), len(before)))
-            group = np.concatenate((h[whole], _beside(h[after], flanks[after, FLANK : FLANK + AFTER], 1), _beside(h[before], flanks[before, FLANK - BEFORE : FLANK], 2)))
-            bucket = (code_of(group, buckets) >> _32).astype(np.int64)
-            rows = dealt(bucket, buckets, fan, block=np.full(len(i), key[0], np.int64), h=group, key=h[i] ^ mark[i] * np.uint64(3), mark=mark[i], side=side, doc=doc[i], left=left[i], right=right[i], flanks=flanks[i])
+            bucket = (code_of(_grouping(h[i], flanks[i], side), buckets) >> _32).astype(np.int64)
+            rows = dealt(bucket, buckets, fan, block=np.full(len(i), key[0], np.int64), h=h[i], mark=mark[i], side=side, doc=doc[i], left=left[i], right=right[i], flanks=flanks[i])
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
     return second_level(texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(run, "key long, blob binary"), buckets)
 
 
-def _beside(h: np.ndarray, near: np.ndarray, side: int) -> np.ndarray:
-    """Hashes of anchors together with bytes beside them."""
-    out = h + np.uint64(side) * np.uint64(C._MULT)
-    for k in range(near.shape[1]):
-        out = C.mix(out + near[:, k] + np.uint64(1))
+def _grouping(h: np.ndarray, flanks: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, of split ones together with the bytes on their side."""
+    out = h.copy()
+    for s, near in ((1, slice(FLANK, FLANK + AFTER)), (2, slice(FLANK - BEFORE, FLANK))):
+        own = np.flatnonzero(side == s)
+        x = h[own] + np.uint64(s) * np.uint64(C._MULT)
+        for column in flanks[own, near].T:
+            x = C.mix(x + column + np.uint64(1))
+        out[own] = x
     return out
 
 
@@ -405,8 +408,10 @@ def resolve(sent: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         got = [unpacked(x.as_py()) for x in table["blob"]]
-        block, h, key, mark, side, doc, left, right = (np.concatenate([g[k] for g in got]) for k in ("block", "h", "key", "mark", "side", "doc", "left", "right"))
+        block, h, mark, side, doc, left, right = (np.concatenate([g[k] for g in got]) for k in ("block", "h", "mark", "side", "doc", "left", "right"))
         flanks = np.concatenate([g["flanks"] for g in got]).reshape(len(h), 2 * FLANK)
+        key = h ^ mark * np.uint64(3)
+        h = _grouping(h, flanks, side)
         order = np.lexsort((doc, mark, h))
         new = np.ones(len(order), bool)
         new[1:] = (h[order[1:]] != h[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
