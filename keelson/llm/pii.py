@@ -439,7 +439,7 @@ def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_
     docs, others = C.with_others(documents, id_col, text_col)
     others = others if keep_others else []
     docs = docs.select("doc_id", "text", *(f"other_{i}" for i in range(len(others))))
-    hits = find_entities(docs.select("doc_id", "text"))
+    hits = C.cut(find_entities(docs.select("doc_id", "text")))  # small rows, so that texts are searched once before they are replaced
     known = C.cut(hits.select("kind", "canon").distinct())
     same = C.cut(same_persons(known))
     again = redraws(known.join(same, ["kind", "canon"], "left_anti"), key)
