@@ -61,7 +61,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii_surrogates, op4_bpe_replay, op5_best_fit_packing, op6_ogg_media, op7_suffix_dedup, op8_quality_qda, op9_forest_join, op10_warc_chain, pipeline)}
+# parts of results that SQL can express where it cannot express the whole
+
+
+def base_of_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_of_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pieces_of_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, and whether all of them lie in a bin that has room for what is in it."""
+    rows = op5_best_fit_packing(spark, sf_dir)
+    bins = rows.where("bin_id is not null").groupBy("bin_id").agg((F.sum("length") <= F.max("bin_size")).alias("fits"), (F.max(F.col("bin_offset") + F.col("length")) == F.sum("length")).alias("dense"))
+    return rows.join(bins, "bin_id", "left").select("doc_id", "piece", "start", "length", (F.coalesce("fits", F.lit(True)) & F.coalesce("dense", F.lit(True))).alias("placed"))
+
+
+def payload_of_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_ogg_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii_surrogates, op4_bpe_replay, op5_best_fit_packing, op6_ogg_media, op7_suffix_dedup, op8_quality_qda, op9_forest_join, op10_warc_chain, pipeline, base_of_op1, base_of_op2, pieces_of_op5, payload_of_op6)}
 
 _WARC_SQL = """
 WITH p AS (
@@ -114,4 +136,40 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0)
 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
 """
 
-SQL = {"op7_suffix_dedup": _REPEATS_SQL, "op9_forest_join": _JACCARD_SQL, "op10_warc_chain": _WARC_SQL}
+_RULES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
+x AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM w),
+g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY i) || ' ' || lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS three FROM x),
+r AS (SELECT doc_id, three FROM g WHERE three IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN r USING (doc_id, three), (VALUES (0), (1), (2)) AS v(k) GROUP BY 1),
+y AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(l, lambda s: length(s))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(l) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(l) AS base_failed
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN y ON y.doc_id = w.doc_id
+"""
+
+_PHRASES_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+x AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS i FROM w),
+y AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, 'gpl' AS label FROM y WHERE a = 'gnu' AND b = 'general' AND c = 'public' AND d = 'license' UNION ALL SELECT doc_id, i, 'apache' FROM y WHERE a = 'apache' AND b = 'license'
+  UNION ALL SELECT doc_id, i, 'cc-by' FROM y WHERE a = 'cc' AND b = 'by' UNION ALL SELECT doc_id, i, 'mit' FROM y WHERE a = 'mit' AND b = 'license'),
+f AS (SELECT doc_id, count(*) AS n, CAST(min(i) AS BIGINT) AS lo, CAST(max(i) AS BIGINT) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN f ON f.doc_id = w.doc_id
+"""
+
+_PIECES_SQL = """
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, greatest(1, (n + 16383) // 16384))) AS piece FROM d)
+SELECT doc_id, piece, 16384 * piece AS "start", least(16384, n - 16384 * piece) AS length, true AS placed FROM p
+"""
+
+_PAYLOAD_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT *, 576 * greatest(1, (n + 575) // 576) AS size FROM d)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(h || repeat('FF', CAST(size - n AS INT)))) AS payload_sha256 FROM p
+"""
+
+SQL = {"op7_suffix_dedup": _REPEATS_SQL, "op9_forest_join": _JACCARD_SQL, "op10_warc_chain": _WARC_SQL, "base_of_op1": _RULES_SQL, "base_of_op2": _PHRASES_SQL, "pieces_of_op5": _PIECES_SQL, "payload_of_op6": _PAYLOAD_SQL}
