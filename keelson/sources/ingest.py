@@ -158,14 +158,52 @@ def gps(rows: DataFrame) -> DataFrame:
     return good.select("whole_ref", F.round("lat", 7).alias("lat"), F.round("long", 7).alias("long"))
 
 
-def audio_tags(files: DataFrame) -> DataFrame:
-    """(ref, tag, value) from the frame at the end of MPEG audio (ref, data): title, artist, album, year, track."""
-    end = F.expr("substring(data, -128, 128)")
-    field = lambda at, n: F.trim(F.regexp_replace(F.decode(F.substring(end, at, n), "ISO-8859-1"), r"\x00.*$", ""))
-    track = F.when(F.hex(F.substring(end, 126, 1)) == "00", F.conv(F.hex(F.substring(end, 127, 1)), 16, 10))
-    tags = F.array(*(F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in (("title", field(4, 30)), ("artist", field(34, 30)), ("album", field(64, 30)), ("year", field(94, 4)), ("track", F.coalesce(track, F.lit(""))))))
-    rows = files.where((F.octet_length("data") >= 128) & (F.hex(F.substring(end, 1, 3)) == "544147"))
-    return rows.select("ref", F.explode(tags).alias("t")).select("ref", "t.*").where("value not in ('', '0')")
+#: Frames of audio files by the tag that they hold.
+AUDIO_FRAMES = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TCON": "genre", "TYER": "year", "TDRC": "year", "TRCK": "track", "TPOS": "disc", "TLEN": "durationms"}
+
+
+def audio_tags_of(data: bytes, digest: str = "sha224") -> dict[str, str]:
+    """Tags of MPEG audio: from frames at the beginning, else from the fields at the end, and the digest of what lies between."""
+    import hashlib
+
+    got: dict[str, str] = {}
+    start, end = 0, len(data)
+    if data[:3] == b"ID3" and len(data) >= 10 and data[3] in (3, 4):
+        packed = lambda b: sum((x & 127) << 7 * (3 - k) for k, x in enumerate(b))
+        start = min(len(data), 10 + packed(data[6:10]))
+        at = 10
+        while at + 10 <= start and data[at : at + 4].strip(b"\0"):
+            name, size = data[at : at + 4].decode("latin-1"), packed(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
+            body, at = data[at + 10 : at + 10 + size], at + 10 + size
+            if not body or body[0] > 3:
+                continue
+            text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0]], "replace").rstrip("\0")
+            if name == "TXXX":
+                label, _, text = text.partition("\0")
+                if label.lower() == "musicbrainz album id":
+                    got.setdefault("musicbrainzalbumid", text)
+            elif name in AUDIO_FRAMES:
+                got.setdefault(AUDIO_FRAMES[name], text.split("/")[0] if name in ("TRCK", "TPOS") else text[:4] if name == "TDRC" else text)
+    if data[-128:-125] == b"TAG" and end - start >= 128:
+        end -= 128
+        tail = data[end:]
+        field = lambda a, b: tail[a:b].split(b"\0")[0].decode("latin-1").strip()
+        for name, value in (("title", field(3, 33)), ("artist", field(33, 63)), ("album", field(63, 93)), ("year", field(93, 97)), ("track", str(tail[126]) if tail[125] == 0 and tail[126] else "")):
+            got.setdefault(name, value)
+    if (start, end) != (0, len(data)):
+        got["mediaref"] = f"{digest}-{hashlib.new(digest, data[start:end]).hexdigest()}"
+    return {k: v for k, v in got.items() if v not in ("", "0")}
+
+
+def audio_tags(files: DataFrame, digest: str = "sha224") -> DataFrame:
+    """(ref, tag, value) of MPEG audio files (ref, data)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(ref, k, v) for ref, data in zip(pdf["ref"], pdf["data"], strict=True) for k, v in audio_tags_of(bytes(data), digest).items()]
+            yield pd.DataFrame(rows, columns=["ref", "tag", "value"])
+
+    return files.where("data is not null").select("ref", "data").mapInPandas(run, "ref string, tag string, value string")
 
 
 def chunk_bounds(data: bytes, bits: int = 13) -> list[int]:

@@ -96,6 +96,39 @@ query("parked_str_05", "SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') A
     )[1]
 )
 
+
+
+def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audio files of parts: frames at the beginning, and every second one with fields at the end."""
+    bytes_of = lambda c: F.encode(c, "UTF-8")
+    number = lambda c: F.unhex(F.lpad(F.hex(c.cast("bigint")), 8, "0"))
+
+    def frame(name: str, text: Column) -> Column:
+        return F.concat(F.lit(name.encode()), number(F.octet_length(text) + 1), F.lit(b"\0\0\3"), bytes_of(text))
+
+    p = table(spark, sf_dir, "part")
+    frames = F.concat(frame("TIT2", F.col("p_name")), frame("TPE1", F.concat(F.lit("é"), "p_brand")), frame("TCON", F.col("p_type")), frame("TRCK", F.concat_ws("/", "p_size", F.lit("60"))), frame("TPOS", (F.col("p_partkey") % 3).cast("string")), frame("TXXX", F.concat(F.lit("MusicBrainz Album Id\0"), F.col("p_partkey").cast("string"))))
+    size = F.octet_length(frames)
+    head = F.concat(F.lit(b"ID3\3\0\0\0\0"), F.unhex(F.lpad(F.hex(F.floor(size / 128) * 256 + size % 128), 4, "0")))
+    tail = F.concat(F.lit(b"TAG"), F.unhex(F.rpad(F.hex(bytes_of(F.lit("other title"))), 60, "0")), F.unhex(F.lit("00" * 30)), F.unhex(F.rpad(F.hex(bytes_of(F.concat(F.lit("album"), F.col("p_partkey").cast("string")))), 60, "0")), F.lit(b"1999"), F.unhex(F.lit("00" * 31)))
+    audio = bytes_of(F.concat(F.lit("sound"), F.col("p_partkey").cast("string")))
+    data = F.concat(head, frames, audio, F.when(F.col("p_partkey") % 2 == 0, tail).otherwise(F.lit(b"")))
+    return ingest.audio_tags(p.select(ref("item", "p_partkey").alias("ref"), data.alias("data")), "sha256")
+
+
+query(
+    "audio_tags_src_07",
+    "WITH p AS (SELECT *, 'item-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS ref FROM part), a AS ("
+    + " UNION ALL ".join(
+        f"SELECT ref, '{tag}' AS tag, {value} AS value FROM p WHERE {where}"
+        for tag, value, where in (
+            ("title", "p_name", "true"), ("artist", "'é' || p_brand", "true"), ("genre", "p_type", "true"), ("track", "CAST(p_size AS VARCHAR)", "true"), ("disc", "CAST(p_partkey % 3 AS VARCHAR)", "p_partkey % 3 <> 0"), ("musicbrainzalbumid", "CAST(p_partkey AS VARCHAR)", "p_partkey <> 0"),
+            ("album", "'album' || p_partkey", "p_partkey % 2 = 0"), ("year", "'1999'", "p_partkey % 2 = 0"), ("mediaref", "'sha256-' || sha256('sound' || p_partkey)", "true"),
+        )
+    )
+    + ") SELECT * FROM a",
+)(_audio)
+
 # claims: first-seen order, deletions kept up, places by reference, stored searches, descriptions of results
 
 on_store("first_seen_win_04", lambda s: replay.first_seen(s.claims.where("attr = 'tag'"), "value").select("value", "claim_ref"), with_("claims") + "SELECT value, first(claim_ref ORDER BY date, claim_ref) AS claim_ref FROM claims WHERE attr = 'tag' GROUP BY 1")
