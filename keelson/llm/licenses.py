@@ -49,6 +49,8 @@ _LOWER[65:91] += 32
 
 #: Sets of keywords that a rule is gated by at most.
 GATES = 3
+#: Length of the pieces of all sets but the first; shorter ones are common and keep little out.
+RARE = 4
 #: A piece of text, and whether no ASCII letter or digit stands before it.
 Keyword = tuple[str, bool]
 
@@ -59,11 +61,18 @@ def keywords(pattern: str) -> tuple[frozenset[Keyword], ...]:
     A sequence needs the literals that stand in a row in it, and what its parts
     need that cannot be left out; an alternative needs a piece of each of its
     branches. The sets with the longest pieces are taken. A piece that begins the
-    pattern, behind a look-behind for letters, is the beginning of a word.
+    pattern, behind a look-behind for letters, or that follows white space is the
+    beginning of a word.
     """
 
     def weight(pieces: frozenset[Keyword]) -> tuple:
-        return min((len(w) + 2 * begins for w, begins in pieces), default=0), -len(pieces), sorted(pieces)
+        return min((len(w) + 2 * begins for w, begins in pieces), default=0), -len(pieces)
+
+    def gap(op: object, arg: object) -> bool:
+        """Whether something stands here for sure that is neither a letter nor a digit."""
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            return arg[0] > 0 and len(arg[2]) == 1 and gap(*arg[2][0])
+        return op is sre.IN and all((o is sre.LITERAL and x < 128 and not chr(x).isalnum()) or (o, x) == (sre.CATEGORY, sre.CATEGORY_SPACE) for o, x in arg)
 
     def needed(parsed: Iterable, first: bool) -> list[frozenset[Keyword]]:
         found: list[frozenset[Keyword]] = []
@@ -86,12 +95,12 @@ def keywords(pattern: str) -> tuple[frozenset[Keyword], ...]:
             elif op is sre.BRANCH:
                 branches = [max(needed(b, first), key=weight, default=frozenset()) for b in arg[1]]
                 found.append(frozenset().union(*branches) if all(branches) else frozenset())
-            first = first and op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT)
+            first = (first and op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT)) or gap(op, arg)
         return [f for f in found if f]
 
     parsed = sre_parser.parse(pattern)
     every = sorted(needed(parsed, pattern.startswith(_BEGIN)), key=weight, reverse=True)
-    return tuple(dict.fromkeys(f for k, f in enumerate(every) if k == 0 or weight(f)[0] > 2))[:GATES]
+    return tuple(dict.fromkeys(f for k, f in enumerate(every) if k == 0 or min(len(w) for w, _ in f) >= RARE))[:GATES]
 
 
 #: Look-arounds that keep matches from beginning or ending inside a word.

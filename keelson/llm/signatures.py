@@ -308,12 +308,18 @@ NAMES = (
     ("llama", r"llama [0-9.]+ community licen[sc]e"),
     ("openrail", r"(?:bigscience )?(?:creativeml )?open ?rail(?:-m|\+\+-m)?(?: licen[sc]e)?"),
     ("cc0", r"creative commons zero(?: 1\.0)?(?: universal)?"),
-    ("cc-by-nc-nd", r"cc[\s-]by[\s-]nc[\s-]nd|creative commons attribution[\s-]non-?commercial[\s-]no-?deriv\w*"),
-    ("cc-by-nc-sa", r"cc[\s-]by[\s-]nc[\s-]sa|creative commons attribution[\s-]non-?commercial[\s-]share-?alike"),
-    ("cc-by-nc", r"cc[\s-]by[\s-]nc|creative commons attribution[\s-]non-?commercial"),
-    ("cc-by-nd", r"cc[\s-]by[\s-]nd|creative commons attribution[\s-]no-?deriv\w*"),
-    ("cc-by-sa", r"cc[\s-]by[\s-]sa|creative commons attribution[\s-]share-?alike"),
-    ("cc-by", r"cc[\s-]by|creative commons attribution"),
+    ("cc-by-nc-nd", r"cc[\s-]by[\s-]nc[\s-]nd"),
+    ("cc-by-nc-nd", r"creative commons attribution[\s-]non-?commercial[\s-]no-?deriv\w*"),
+    ("cc-by-nc-sa", r"cc[\s-]by[\s-]nc[\s-]sa"),
+    ("cc-by-nc-sa", r"creative commons attribution[\s-]non-?commercial[\s-]share-?alike"),
+    ("cc-by-nc", r"cc[\s-]by[\s-]nc"),
+    ("cc-by-nc", r"creative commons attribution[\s-]non-?commercial"),
+    ("cc-by-nd", r"cc[\s-]by[\s-]nd"),
+    ("cc-by-nd", r"creative commons attribution[\s-]no-?deriv\w*"),
+    ("cc-by-sa", r"cc[\s-]by[\s-]sa"),
+    ("cc-by-sa", r"creative commons attribution[\s-]share-?alike"),
+    ("cc-by", r"cc[\s-]by"),
+    ("cc-by", r"creative commons attribution"),
     ("public-domain", r"in the public domain"),
 )
 
