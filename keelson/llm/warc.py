@@ -11,7 +11,8 @@ true boundaries, so record starts faked inside payloads are rejected.
 
 Defined results: a null payload is an empty one. Pages without id are always
 responses and come back with a null id. Rows that share the largest id of their
-payload are all responses. Repeated rows come back as often as they occur.
+payload are all responses. Repeated rows come back as often as they occur, and
+rows of one id with different payloads are pages of their own.
 """
 
 from __future__ import annotations
@@ -60,14 +61,14 @@ def record_head(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a page with a larger id also has.
+    """(page_id, digest, refers_to) of pages whose payload a page with a larger id also has.
 
     Only digests and ids are shuffled; a payload's largest id is pre-aggregated,
     and its copies meet it in a join that splits hot keys.
     """
     small = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes))
     best = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
-    return small.join(best, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return small.join(best, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -92,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
     for k in sorted(r["class"] for r in pages.select("class").distinct().collect()) or [0]:
-        rows = pages.where(F.col("class") == k).join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
+        rows = pages.where(F.col("class") == k).withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
         rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, FILE_RECORDS >> k)).text(f"{path}/class-{k}")
 
 
@@ -136,15 +137,16 @@ def candidates(content: bytes) -> Iterator[tuple]:
 def reachable(links: DataFrame) -> DataFrame:
     """(file, at) on the chain from offset 0 of each file, of links (file, at, next).
 
-    Round k adds what lies 2^k records after a known boundary and doubles the
-    pointers: as many rounds as the logarithm of a file's records. Each round is
-    cut by a checkpoint.
+    Pointers that end at no candidate are left out first. Round k adds what lies
+    2^k records after a known boundary and doubles the pointers: as many rounds as
+    the logarithm of a file's records. Each round is cut by a checkpoint.
     """
-    jumps = C.cut(links.select("file", "at", "next").distinct())
-    known = C.cut(jumps.where("at = 0").select("file", "at"))
+    links = links.select("file", "at", "next").distinct()
+    known = C.cut(links.where("at = 0").select("file", "at"))
+    jumps = C.cut(links.join(links.select("file", F.col("at").alias("next")), ["file", "next"], "left_semi"))
     size = known.count()
     while True:
-        ahead = known.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")).join(links.select("file", "at"), ["file", "at"], "left_semi")
+        ahead = known.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
         known = C.cut(known.unionByName(ahead).distinct())
         if (now := known.count()) == size:
             return known

@@ -261,6 +261,12 @@ def test_a_broken_chain_is_an_error(spark, tmp_path):
             warc.read_archives(spark, str(tmp_path / "bad"))
 
 
+def test_payloads_of_one_id_are_told_apart(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (2, "u", "a")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    assert got == sorted([(1, warc.digest32(b"a"), "revisit", 2), (1, warc.digest32(b"b"), "response", None), (2, warc.digest32(b"a"), "response", None)])
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.round_trip(pages, min_bytes=5).collect()} == {"response"}
