@@ -448,8 +448,9 @@ def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_
     if again.isEmpty():
         docs = docs.withColumn("again", F.lit(None).cast("array<struct<kind:string,canon:string,entity:string,attempt:int>>"))
     else:  # only documents with such an entity need more than the key
-        per_doc = hits.join(again, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "entity", "attempt")).alias("again"))
-        docs = docs.join(C.checked_broadcast(per_doc), "doc_id", "left")
+        changed = C.cut(hits.join(again, ["kind", "canon"]))
+        per_doc = changed.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "entity", "attempt")).alias("again"))
+        docs = docs.join(F.broadcast(per_doc) if changed.count() <= C.BROADCAST_ROWS else per_doc, "doc_id", "left")
     names = [f"other_{i}" for i in range(len(others))]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.StringType()), *(T.StructField(n, f.dataType) for n, f in zip(names, others, strict=True))])
 
