@@ -57,14 +57,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows without text have none to cut and stay as they are.
     """
-    some = docs.where("text is not null")
-    cut_docs = dedup.remove_repeats(some, keep_others=True, whole_chars=True)
+    cut_docs = dedup.remove_repeats(_renamed(docs).where("text is not null"), keep_others=True, whole_chars=True)
     return _with_text(cut_docs, docs, F.col("kept").cast("string")).unionByName(docs.where("text is null"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; a null text stays null."""
-    return _with_text(pii.pseudonymise(docs, PII_KEY, keep_others=True), docs, F.col("text"))
+    return _with_text(pii.pseudonymise(_renamed(docs), PII_KEY, keep_others=True), docs, F.col("text"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +71,25 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _renamed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns under numbers, which no column of an operator has."""
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"column {i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+
+
 def _with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    """The columns of ``docs`` from renamed ones, with another text and its number of characters."""
+    out = []
+    for i, c in enumerate(docs.columns):
+        if c == "doc_id":
+            col = F.col(c)
+        elif c == "text":
+            col = text
+        else:
+            col = F.col(f"`column {i}`")
+            if c == "n_chars":
+                col = F.coalesce(F.char_length(text).cast(docs.schema[c].dataType), col)
+        out.append(col.alias(c))
+    return found.select(*out)
 
 
 STAGES = [
