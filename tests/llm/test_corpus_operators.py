@@ -327,7 +327,7 @@ def test_pipeline(spark, data):
 def test_stages_keep_rows_without_text_and_other_columns(spark):
     """Names of columns that stages use for themselves do not clash; nothing is made of nothing."""
     rows = [(1, "one text of some words that is long enough to be found in another row", 1, 2, 3, "a"), (2, None, 4, 5, 6, "b"), (3, "", 7, 8, 9, "c"), (None, None, 0, 0, 0, "d"), (4, "a row with many other words in front, so that it is no near copy of the first one: one text of some words that is long enough to be found in another row", 1, 2, 3, "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, key long, n_chars long, kept string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, key long, kinds long, kept string")
     for stage in (corpus_pipeline.jaccard_join, corpus_pipeline.suffix_dedup, corpus_pipeline.surrogates):
         got = stage(spark, docs, "")
         assert got.columns == docs.columns and got.count() == 5
