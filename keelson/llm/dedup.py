@@ -54,6 +54,8 @@ WORD = 32
 FLANK = LENGTH - WORD  # 18; a window holds FLANK + 1 words
 #: Bytes of text a block is meant to hold; a longer text is a block with others.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text in which anchors are searched at once (a longer single text is one step); a byte needs about 70.
+SEARCH_BYTES = 1 << 19
 #: Sequences sorted in one collection; each has one anchor, and symbols have 16 bits.
 COLLECTION_ROWS = 20_000
 #: Buckets for which one task makes blobs; beyond them a blob goes to a range of buckets first.
@@ -233,10 +235,10 @@ def pack_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def _cuts(ids: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First document, bytes and offsets of slices of at most C.SLICE_BYTES or one text."""
+    """First document, bytes and offsets of slices of at most SEARCH_BYTES or one text."""
     at = 0
     while at < len(ids):
-        to = min(len(ids), max(at + 1, int(np.searchsorted(offs, offs[at] + C.SLICE_BYTES, side="right")) - 1))
+        to = min(len(ids), max(at + 1, int(np.searchsorted(offs, offs[at] + SEARCH_BYTES, side="right")) - 1))
         yield at, buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
 
